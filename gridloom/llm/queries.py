@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, quality_fm, quality_rules, token_counts
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, token_counts
 from .textbatch import crc_remainder
 
 
@@ -29,6 +29,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"), size=4, threshold=85)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_source_mixing, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
 SQL: dict[str, str] = {}
 
 

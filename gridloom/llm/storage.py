@@ -25,3 +25,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers each that may be broadcast, some 50 MB on every machine.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast where a count shows that it is small; else it is shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
