@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, token_counts
+from . import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, token_counts
 from .textbatch import crc_remainder
 
 
@@ -21,6 +21,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 10) == 0
+    out = brown_lm.score(docs, held)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
@@ -61,7 +68,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_brown_class_lm, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
 SQL: dict[str, str] = {}
 
 
