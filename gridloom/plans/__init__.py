@@ -1,9 +1,11 @@
 """The registered queries over the operators, with their SQL."""
 
+from . import tables
+
 
 def queries() -> dict:
-    return {}
+    return dict(tables.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(tables.SQL)
