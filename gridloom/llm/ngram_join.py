@@ -42,6 +42,8 @@ THRESHOLD = 85
 MAX_FREQUENT = 200_000
 #: A batch reports shingles that so many of its documents have.
 REPORT = 4
+#: Times that components are formed before all pairs across them are made.
+ROUNDS = 3
 _NULL = -(1 << 63)
 _U = np.uint64
 _BITS = 22
@@ -218,7 +220,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     """Of pairs (a, b) of ids, those whose whole sets are similar enough."""
     ids = storage.materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = _sets(docs.join(storage.broadcast_if_small(ids), "id", "left_semi").select("id", "text"), size)
-    sets = storage.materialize(sets)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * threshold).select("a", "b").distinct()
@@ -258,10 +259,24 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     links = storage.materialize(_verified(storage.materialize(allowed), docs, size, threshold))
     parts = storage.materialize(connected_components(links, "a", "b"))
 
+    # again among classes of different components whose parities allow a link, each with the best of its keys' choices
+    rest = None
+    for turn in range(ROUNDS):
+        label = parts.withColumnRenamed("node", "id")
+        before = shared if rest is None else rest.drop("component")
+        labelled = before.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi")
+        rest = storage.materialize(labelled if rest is not None else labelled.join(parity.select("id", "parity"), "id"))
+        if turn == ROUNDS - 1:
+            break
+        chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "n", "component", "parity")).over(everyone)
+        able = (F.col("component") != F.col("c.component")) & _sizes_allow(F.col("n"), F.col("c.n"), threshold) & _parities_allow(F.col("n"), F.col("c.n"), F.col("parity"), F.col("c.parity"), threshold)
+        stars = rest.select("*", chosen.alias("c")).where(able).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common")).groupBy("id").agg(F.max(F.struct("common", "other")).alias("x"))
+        pairs = storage.materialize(stars.select(F.least("id", "x.other").alias("a"), F.greatest("id", "x.other").alias("b")).distinct())
+        links = storage.materialize(links.unionByName(_verified(pairs, docs, size, threshold)))
+        parts = storage.materialize(connected_components(links, "a", "b"))
+
     # whatever shares a key across components
-    labelled = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = storage.materialize(labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi"))
-    rest = storage.materialize(labelled.join(parity.select("id", "parity"), "id"))
     x, y = rest.alias("x"), rest.alias("y")
     across = (F.col("x.component") < F.col("y.component")) & _sizes_allow(F.col("x.n"), F.col("y.n"), threshold) & _parities_allow(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"), threshold)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
