@@ -69,7 +69,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_brown_class_lm, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+  i AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM s), bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM i),
+  x AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n), h AS (SELECT r, p, x.n, item_id FROM x JOIN bw ON x.n = bw.n AND array_to_string(w[p:p + x.n - 1], ' ') = k),
+  c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r), t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+}
 
 
 def queries() -> dict:
