@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_extraction():
     page = "<html><head><title>T</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head</h1><p>One &amp;amp; two\n three<p>Four<aside>no</aside><section class='comments'><p>reader</p></section></article><footer>f</footer>"
     assert html_extract.main_text(page) == "Head\nOne &amp; two three\nFour"
     assert html_extract.main_text(None) == "" and html_extract.main_text("a < b") == "a < b"
+
+
+def test_simhash_matches_brute_force():
+    rng = np.random.default_rng(5)
+    sizes = [5, 255, 256, 1, 1000]
+    hashes = rng.integers(0, 1 << 64, sum(sizes), dtype=np.uint64)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[f : f + n]) > n) for f, n in zip(first, sizes, strict=True)]
+    assert line_dedup.simhashes(hashes, first).tolist() == want
+
+
+def test_line_dedup_large_groups(spark):
+    # 40 lines in pairwise near copies share keys, more than are paired in place; one other line stays
+    words = [f"v{i}" for i in range(120)]
+    lines = [" ".join([*words[:60], f"n{k}", *words[60:]]) for k in range(40)]
+    d = spark.createDataFrame([(i, f"{line}\n\n{line}") for i, line in enumerate(lines)] + [(40, "wholly different words stand in this one")], "doc_id long, text string")
+    links = {r.doc_id: r.text for r in line_dedup.report(d).collect()}
+    assert links[0].startswith(lines[0]) and links[40] and sum(1 for v in links.values() if v.strip()) < 41
+    assert not any(links[i].count("v0 ") > 1 for i in range(40))
