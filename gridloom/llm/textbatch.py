@@ -44,6 +44,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the base of rolling hashes."""
+    return _power(_BASE, n)
+
+
 def byte_class(separators) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     table[list(separators)] = False
