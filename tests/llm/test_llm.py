@@ -154,3 +154,29 @@ def test_line_dedup_large_groups(spark):
     links = {r.doc_id: r.text for r in line_dedup.report(d).collect()}
     assert links[0].startswith(lines[0]) and links[40] and sum(1 for v in links.values() if v.strip()) < 41
     assert not any(links[i].count("v0 ") > 1 for i in range(40))
+
+
+@pytest.mark.parametrize(("words", "replaced", "least"), [(8, 1, 0.85), (12, 1, 0.95), (27, 1, 0.98), (27, 2, 0.95), (40, 4, 0.9)])
+def test_line_dedup_recall_by_length(spark, words, replaced, least):
+    # brute force finds all pairs at the edit similarity
+    rng = np.random.default_rng(words * 10 + replaced)
+    lines, rows = rng.integers(10_000, 99_999, (150, words)), []
+    for i, line in enumerate(lines):
+        other = line.copy()
+        other[rng.choice(words, replaced, replace=False)] = rng.integers(10_000, 99_999, replaced)
+        rows += [(i, " ".join(map(str, line))), (1000 + i, " ".join(map(str, other)))]
+    pairs = list(zip(rows[::2], rows[1::2], strict=True))
+    linked = {b[0] for a, b in pairs if _edits(a[1], b[1]) <= 0.2 * max(len(a[1]), len(b[1]))}
+    assert len(linked) == len(pairs)
+    found = {r.doc_id for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_fuzzy > 0").collect()}
+    assert found <= linked and len(found) >= least * len(linked)
+
+
+def _edits(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
