@@ -180,3 +180,9 @@ def _edits(a, b):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         last = row
     return last[-1]
+
+
+def test_line_dedup_short_lines(spark):
+    d = spark.createDataFrame([(1, "Read more\n今日は天気がいい\nkeep one of these"), (2, "read  more!\n...\n今日は天気がいい\nkeep two of these"), (3, "...\n")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped, r.n_fuzzy) for r in line_dedup.report(d).collect()}
+    assert got == {1: ("Read more\n今日は天気がいい\nkeep one of these", 0, 0), 2: ("...\nkeep two of these", 2, 0), 3: ("...\n", 0, 0)}
