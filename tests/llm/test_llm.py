@@ -186,3 +186,10 @@ def test_line_dedup_short_lines(spark):
     d = spark.createDataFrame([(1, "Read more\n今日は天気がいい\nkeep one of these"), (2, "read  more!\n...\n今日は天気がいい\nkeep two of these"), (3, "...\n")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped, r.n_fuzzy) for r in line_dedup.report(d).collect()}
     assert got == {1: ("Read more\n今日は天気がいい\nkeep one of these", 0, 0), 2: ("...\nkeep two of these", 2, 0), 3: ("...\n", 0, 0)}
+
+
+def test_line_dedup_repeated_rows(spark):
+    near = BASE.replace("w20", "x20")
+    d = spark.createDataFrame([(1, BASE)] + [(2, f"{near}\n{near}\nother line of some words")] * 3, "doc_id long, text string")
+    got = [(r.n_dropped, r.n_fuzzy, r.text) for r in line_dedup.report(d).where("doc_id = 2").collect()]
+    assert got == [(2, 2, "other line of some words")] * 3
