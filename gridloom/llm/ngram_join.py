@@ -290,7 +290,20 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents, same columns, one of each component: that with the smallest key, once."""
-    found = join(docs, key=key, text=text, size=size, threshold=threshold)
-    others = storage.materialize(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("k")).distinct())
-    return docs.join(storage.broadcast_if_small(others), F.col(key).cast("long").eqNullSafe(F.col("k")), "left_anti")
+    """The documents, same columns, exactly one row of each component: of the smallest key (a null first), then the smallest text hash.
+
+    Rows of one key count as one document, as in `join`. A null key says nothing
+    of which document a row is, so that such rows are linked by their texts only.
+    """
+    # numbered in a written table, so that of equal rows the same one wins in every job
+    rows = storage.materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at")))
+    whole = rows.select("at", F.col("doc").getField(key).cast("long").alias("k"), F.col("doc").getField(text).alias("t"))
+    found = join(whole, key="at", text="t", size=size, threshold=threshold).select("at", F.col("component_id").alias("component"))
+    of = storage.materialize(whole.select("at", "k", F.xxhash64("t").alias("row")).join(found, "at"))
+    parts = of.where("k is not null").select("k", "component").distinct()
+    same = parts.join(parts.groupBy("k").agg(F.min("component").alias("other")), "k").where("component <> other").select("component", "other")
+    merged = connected_components(storage.materialize(same), "component", "other").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    group = F.coalesce("whole", "component").alias("group")
+    kept = of.join(merged, "component", "left").groupBy(group).agg(F.min(F.struct("k", "row", "at")).alias("x"))
+    kept = storage.materialize(kept.select(F.col("x.at").alias("at")))
+    return rows.join(storage.broadcast_if_small(kept), "at", "left_semi").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

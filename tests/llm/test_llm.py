@@ -193,3 +193,11 @@ def test_line_dedup_repeated_rows(spark):
     d = spark.createDataFrame([(1, BASE)] + [(2, f"{near}\n{near}\nother line of some words")] * 3, "doc_id long, text string")
     got = [(r.n_dropped, r.n_fuzzy, r.text) for r in line_dedup.report(d).where("doc_id = 2").collect()]
     assert got == [(2, 2, "other line of some words")] * 3
+
+
+def test_keep_first_keeps_one_row_of_a_component(spark):
+    near = BASE.replace("w39", "x39")
+    rows = [(1, BASE), (1, BASE), (1, BASE), (2, near), (None, "null id text of words"), (None, "null id text of words"), (None, "quite another null id text"), (5, "quite another null id text"), (7, "alone in this table"), (8, None), (8, None), (9, "")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, BASE), (None, "null id text of words"), (None, "quite another null id text"), (7, "alone in this table"), (8, None), (9, "")]
+    assert kept.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
