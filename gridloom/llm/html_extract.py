@@ -4,12 +4,15 @@ A page is cut into blocks at block-level tags. In the first pass each block is
 judged by where it stands, its stop-word density, its length and its link
 density: good, bad, or undecided where it is short. In the second pass
 undecided blocks take the label of the nearest decided neighbours. Good blocks
-are the text.
+are the text. Outside a main element, long blocks of few stop words are
+undecided; where no block of the page has enough of them, no list fits its
+language and length and link density decide.
 
 Cases: null or empty html gives an empty text; broken or unclosed tags end
-where the next tag or the page ends; a page without an article element is
-judged by its blocks alone; repeated rows are extracted each; other columns are
-not looked at.
+where the next tag or the page ends; of elements without text, one that is not
+closed ends at the next block tag, and such a head is read tag by tag; a page
+without an article element is judged by its blocks alone; repeated rows are
+extracted each; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "canvas", "object", "video", "audio", "button")}
+_NEXT_BLOCK = re.compile(rf"(?=</?(?:{'|'.join(t for t in BLOCKS if t not in ('option', 'optgroup', 'legend', 'caption', 'title'))})(?![^\s/>]))", re.I)
 
 
 class _Block:
@@ -116,7 +120,10 @@ def blocks(page: str) -> list[_Block]:
             else:
                 end = (_RAW_END.get(tag) or re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)).search(page, at)
             if not token[3].rstrip().endswith("/"):
-                at = end.end() if end else n
+                # an unclosed head is left by reading on: what is silent in it is skipped by itself
+                if not end and tag != "head":
+                    end = _NEXT_BLOCK.search(page, at)
+                at = end.end() if end else at if tag == "head" else n
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -148,7 +155,13 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
-def _first_pass(block: _Block, has_main: bool) -> str:
+def _density(block: _Block) -> float:
+    """The share of stop words."""
+    words = block.text.lower().split(" ")
+    return sum(map(_STOP.__contains__, words)) / len(words)
+
+
+def _first_pass(block: _Block, has_main: bool, fits: bool) -> str:
     if block.outside or (has_main and not block.main):
         return "bad"
     n = len(block.text)
@@ -156,13 +169,14 @@ def _first_pass(block: _Block, has_main: bool) -> str:
         return "bad"
     if n < SHORT:
         return "short"
-    words = block.text.lower().split(" ")
-    density = sum(map(_STOP.__contains__, words)) / len(words)
+    density = _density(block)
     if density >= MANY:
         return "good" if n > LONG else "near-good"
     if density >= FEW:
         return "near-good"
-    return "short" if has_main else "bad"
+    if has_main or fits:
+        return "short"
+    return "good" if n > LONG else "near-good"
 
 
 def main_text(page: str | None) -> str:
@@ -170,7 +184,8 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_main = any(b.main and not b.outside for b in found)
-    label = [_first_pass(b, has_main) for b in found]
+    fits = has_main or any(len(b.text) >= SHORT and not b.outside and _density(b) >= FEW for b in found)
+    label = [_first_pass(b, has_main, fits) for b in found]
     n = len(found)
     # nearest decided neighbour on each side; undecided blocks follow both, or the good one inside the main element
     before, after, last = ["edge"] * n, ["edge"] * n, "edge"

@@ -201,3 +201,17 @@ def test_keep_first_keeps_one_row_of_a_component(spark):
     kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(1, BASE), (None, "null id text of words"), (None, "quite another null id text"), (7, "alone in this table"), (8, None), (9, "")]
     assert kept.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
+def test_extraction_without_fitting_stop_words():
+    zh = "今天天气很好，我们一起去公园散步，看到很多花和树，还遇见了几位老朋友，大家聊得很开心。" * 3
+    assert html_extract.main_text(f"<body><nav>菜单</nav><div><p>{zh}<p>{zh}</div></body>") == f"{zh}\n{zh}"
+    prose = "This is the text of a page and it has all of the words that we know, as they are to be found in it."
+    item = "Item: " + "sprocket flange gasket bearing washer spindle bracket " * 2
+    assert html_extract.main_text(f"<body><p>{prose}<ul><li>{item}</ul><p>{prose}</body>") == f"{prose}\n{item.strip()}\n{prose}"
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><script>x()</script><p>", "<title>T<p>", "<body><select><option>T<p>", "<body><button>T<p>", "<body><noscript>T<p>"])
+def test_extraction_after_unclosed_elements(start):
+    prose = "This is the text of a page and it has all of the words that we know, as they are to be found in it."
+    assert html_extract.main_text(f"{start}{prose}<p>{prose}") == f"{prose}\n{prose}"
