@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts
+from gridloom.llm import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts
 
 WORDS = [f"w{i}" for i in range(40)]
 BASE = " ".join(WORDS)
@@ -215,3 +215,10 @@ def test_extraction_without_fitting_stop_words():
 def test_extraction_after_unclosed_elements(start):
     prose = "This is the text of a page and it has all of the words that we know, as they are to be found in it."
     assert html_extract.main_text(f"{start}{prose}<p>{prose}") == f"{prose}\n{prose}"
+
+
+def test_frequent_words_do_not_depend_on_batches(spark):
+    # no text has a word four times, yet the corpus has
+    texts = spark.createDataFrame([(f"common{i % 2} rare{i}",) for i in range(12)], "text string")
+    found = [brown_lm._frequent(texts.repartition(n), "text").tolist() for n in (1, 12)]
+    assert found[0] == found[1] and len(found[0]) == 14
