@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, token_counts
+from . import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, storage, token_counts
 from .textbatch import crc_remainder
 
 
@@ -41,7 +41,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_read(spark, sf_dir, "documents"))
+    return line_dedup.report(_read(spark, sf_dir, "documents"), row=storage.file_row())
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

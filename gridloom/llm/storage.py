@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own where that is unset on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     found = getattr(spark, "_gridloom_shared", None)
     if not found:
         found = spark._gridloom_shared = tempfile.mkdtemp(prefix="gridloom-")
@@ -24,7 +27,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._gridloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._gridloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few numbers each that may be broadcast, some 50 MB on every machine.
@@ -33,6 +46,9 @@ BROADCAST_ROWS = 1_000_000
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of narrow rows, marked for broadcast where a count shows that it is small; else it is shuffled."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def file_row() -> tuple[Column, Column]:
+    """Two columns that name a row of a table that is read from Parquet: a hash of its file's path, and its place in the file."""
+    return F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
