@@ -17,7 +17,9 @@ Documents with equal sets are one class, and one class stands for all of them.
 A key that many classes share is not expanded into all pairs: each class is
 first held against one other class of its keys; then only classes in different
 components are paired, and pairs whose sizes or parity bitmaps rule out a link
-are never formed. Every remaining pair is verified on the whole sets.
+are never formed. Every remaining pair is verified on the whole sets, which are
+made anew from the texts where these were dealt to: texts take a third of the
+space of their hashed shingles.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; a text of fewer words than a shingle is one shingle; rows with
@@ -42,6 +44,8 @@ THRESHOLD = 85
 MAX_FREQUENT = 200_000
 #: A batch reports shingles that so many of its documents have.
 REPORT = 4
+#: Texts that are compared with one copy of their partner's text.
+LEAVES = 500
 #: Times that components are formed before all pairs across them are made.
 ROUNDS = 3
 _NULL = -(1 << 63)
@@ -194,17 +198,6 @@ def _keys(docs: DataFrame, order, light: int, size: int, threshold: int) -> Data
     return docs.mapInArrow(run, "key long, f1 long, f2 long, n int")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for _, piece in shingle_sets(batch.column(1), size) for s in piece]
-            bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles array<long>")
-
-
 def _sizes_allow(n, m, threshold: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
@@ -216,13 +209,56 @@ def _parities_allow(n, m, p, q, threshold: int):
     return differ <= most
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * 100 >= (len(x) + len(y) - common) * threshold
+
+
+def _similar(rows: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Of rows (center, salt, kind, id, text), dealt and sorted by the first three, the leaves (kind 1) whose sets are similar enough to the center's (kind 0) before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, {}  # its sets by fingerprint: rows of one id may have different texts
+        for batch in batches:
+            centers, kinds, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            hits = []
+            for first, sets in shingle_sets(batch.column(4), size):
+                for r, s in enumerate(sets, first):
+                    if not len(s):
+                        continue
+                    if kinds[r] == 0:
+                        center, own = centers[r], own if center == centers[r] else {}
+                        own[_print(s)] = s
+                    elif center == centers[r] and any(_linked(x, s, threshold) for x in own.values()):
+                        hits.append(r)
+            hits = np.array(hits, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hits], centers[hits])), pa.array(np.maximum(ids[hits], centers[hits]))], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose whole sets are similar enough."""
-    ids = storage.materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _sets(docs.join(storage.broadcast_if_small(ids), "id", "left_semi").select("id", "text"), size)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * threshold).select("a", "b").distinct()
+    """Of written pairs (id, other), those whose whole sets are similar enough, as (a, b), a < b.
+
+    Texts are dealt to the partner, `other`, whose own text goes along once for every LEAVES of its partners.
+    """
+    dealt = pairs.join(pairs.groupBy("other").agg(F.count("*").alias("leaves")), "other")
+    dealt = storage.materialize(dealt.select("id", F.col("other").alias("center"), F.pmod(F.xxhash64("id"), F.ceil(F.col("leaves") / LEAVES)).cast("int").alias("salt")))
+    texts = docs.select("id", "text")
+    leaves = texts.join(storage.broadcast_if_small(dealt), "id").select("center", "salt", F.lit(1).alias("kind"), "id", "text")
+    centers = storage.materialize(dealt.select(F.col("center").alias("id"), "salt").distinct())
+    ahead = texts.join(storage.broadcast_if_small(centers), "id").select(F.col("id").alias("center"), "salt", F.lit(0).alias("kind"), "id", "text")
+    rows = leaves.unionByName(ahead).repartition("center", "salt").sortWithinPartitions("center", "salt", "kind")
+    found = storage.materialize(_similar(rows, size, threshold))
+    storage.discard(dealt, centers)
+    return found
+
+
+def _parities_checked(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (id, other), each once, those whose parities allow a link, as a written table."""
+    once = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("id").alias("id")).select("id", (F.col("a") + F.col("b") - F.col("id")).alias("other"))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    return storage.materialize(once.join(side("id"), "id").join(side("other"), "other").where(_parities_allow(F.col("n_id"), F.col("n_other"), F.col("p_id"), F.col("p_other"), threshold)).select("id", "other"))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, threshold: int = THRESHOLD) -> DataFrame:
@@ -235,11 +271,11 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     same = ("f1", "f2", "n")
     classes = storage.materialize(documents.where("n > 0").groupBy(*same).agg(F.min(F.struct("id", "parity")).alias("x")).select(*same, "x.id", "x.parity"))
 
-    counted = facts.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(_Order(counted["id"].to_numpy(np.int64).view(_U), counted["n"].to_numpy(np.int64)))
+    counted = facts.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toArrow()
+    order = spark.sparkContext.broadcast(_Order(counted["id"].to_numpy().astype(np.int64).view(_U), counted["n"].to_numpy().astype(np.int64)))
     bins = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     histogram = [(int(r.n), r.sets) for r in classes.groupBy(bins.alias("bin")).agg(F.max("n").alias("n"), F.count("*").alias("sets")).orderBy("n").collect()]
-    short = counted["n"].to_numpy(float)
+    short = counted["n"].to_numpy().astype(float)
     # lists of more than 50 stand at the end of the order, where few prefixes reach
     length = 1 + (short[short <= 50] ** 2).sum() / max(sum(n * c for n, c in histogram), 1)
     light = boundary(histogram, length, threshold)
@@ -247,43 +283,36 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     everyone = Window.partitionBy("key")
     keys = _keys(docs, order, light, size, threshold).select("*", F.min("f1").over(everyone).alias("lo"), F.max("f1").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi")
     shared = storage.materialize(keys.dropDuplicates(["key", "f1", "f2"]).join(classes.select(*same, "id"), list(same)).select("key", "id", "n"))
+    order.unpersist()
 
-    # one other class for each: the key's own choice of a class, of all its keys the one with most keys in common
-    chosen = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).over(everyone)
-    stars = shared.select("key", "id", "n", chosen.alias("c")).where((F.col("id") != F.col("c.id")) & _sizes_allow(F.col("n"), F.col("c.n"), threshold))
-    best = stars.groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common")).groupBy("id").agg(F.max(F.struct("common", "other")).alias("x"))
-    pairs = storage.materialize(best.select(F.least("id", "x.other").alias("a"), F.greatest("id", "x.other").alias("b")).distinct())
-    parity = classes.select("id", "n", "parity")
-    side = lambda c: parity.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
-    allowed = pairs.join(side("a"), "a").join(side("b"), "b").where(_parities_allow(F.col("n_a"), F.col("n_b"), F.col("p_a"), F.col("p_b"), threshold)).select("a", "b")
-    links = storage.materialize(_verified(storage.materialize(allowed), docs, size, threshold))
-    parts = storage.materialize(connected_components(links, "a", "b"))
-
-    # again among classes of different components whose parities allow a link, each with the best of its keys' choices
-    rest = None
+    # one other class for each: the key's own choice of a class, of all its keys the one with most keys in common;
+    # then again among classes of different components
+    links = parts = None
+    rest = shared
     for turn in range(ROUNDS):
-        label = parts.withColumnRenamed("node", "id")
-        before = shared if rest is None else rest.drop("component")
-        labelled = before.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        labelled = labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi")
-        rest = storage.materialize(labelled if rest is not None else labelled.join(parity.select("id", "parity"), "id"))
-        if turn == ROUNDS - 1:
-            break
-        chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "n", "component", "parity")).over(everyone)
-        able = (F.col("component") != F.col("c.component")) & _sizes_allow(F.col("n"), F.col("c.n"), threshold) & _parities_allow(F.col("n"), F.col("c.n"), F.col("parity"), F.col("c.parity"), threshold)
-        stars = rest.select("*", chosen.alias("c")).where(able).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common")).groupBy("id").agg(F.max(F.struct("common", "other")).alias("x"))
-        pairs = storage.materialize(stars.select(F.least("id", "x.other").alias("a"), F.greatest("id", "x.other").alias("b")).distinct())
-        links = storage.materialize(links.unionByName(_verified(pairs, docs, size, threshold)))
-        parts = storage.materialize(connected_components(links, "a", "b"))
+        chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), *(F.col(c) for c in rest.columns if c != "key"))).over(everyone)
+        able = F.col("component") != F.col("c.component") if turn else F.col("id") != F.col("c.id")
+        stars = rest.select("*", chosen.alias("c")).where(able & _sizes_allow(F.col("n"), F.col("c.n"), threshold)).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common"))
+        best = _parities_checked(stars.groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", "x.other"), classes, threshold)
+        more = _verified(best, docs, size, threshold)
+        every = more if links is None else storage.materialize(links.unionByName(more))
+        found = storage.materialize(connected_components(every, "a", "b"))
+        label = found.withColumnRenamed("node", "id")
+        labelled = rest.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        still = storage.materialize(labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi"))
+        storage.discard(best, rest, *([] if links is None else [links, more, parts]))
+        links, parts, rest = every, found, still
 
     # whatever shares a key across components
-    x, y = rest.alias("x"), rest.alias("y")
+    sides = storage.materialize(rest.join(classes.select("id", "parity"), "id"))
+    x, y = sides.alias("x"), sides.alias("y")
     across = (F.col("x.component") < F.col("y.component")) & _sizes_allow(F.col("x.n"), F.col("y.n"), threshold) & _parities_allow(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"), threshold)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = storage.materialize(links.unionByName(_verified(storage.materialize(more), docs, size, threshold)))
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    pairs = storage.materialize(x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct())
+    more = _verified(pairs, docs, size, threshold)
+    parts = storage.materialize(connected_components(links.unionByName(more), "a", "b"))
+    storage.discard(sides, rest, pairs, links, more)
 
-    labels = classes.select(*same, "id").join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+    labels = classes.select(*same, "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = documents.select("id", *same).join(labels, list(same), "left")
     plain = lambda c: F.when(c != _NULL, c)
     return out.select(plain(F.col("id")).alias(key), F.col("n").cast("long").alias("n_shingles"), plain(F.coalesce("component", "id")).alias("component_id"))
