@@ -37,14 +37,22 @@ BLOCKS = "address article aside blockquote body br caption center dd details dia
 SILENT = "script style template noscript svg math canvas object applet iframe audio video head title select textarea button datalist map".split()
 OUTSIDE = "nav header footer aside form menu dialog fieldset".split()
 MAIN = ("article", "main")
-#: Class, id or role words of parts that are not main text.
+#: Words of class, id or role names of parts that are not main text; chosen here after common page layouts.
 OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget\w*|contentinfo|complementary|alert)(?:$|[\s_-])", re.I
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget\w*|contentinfo|complementary|alert", re.I
 )
+#: A name that begins so says something of its element's layout, not that it is a part of its own.
+LAYOUT = frozenset("has no with without is not show hide".split())
+#: Headers that are named after the article are its own, as are those inside the main element.
+ARTICLE = frozenset("page entry post article content".split())
+HEADINGS = frozenset(("header", "masthead", "banner"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Thresholds of the block rules: characters, and shares of words or characters.
-SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.2, 0.10, 0.20
+SHORT, LONG, LINKS, FEW, MANY, FIT = 70, 200, 0.2, 0.10, 0.20, 0.15
+
+#: Outside parts around a block that are told apart.
+NESTED = 8
 
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
 _BLOCKS, _SILENT, _OUTSIDE = frozenset(BLOCKS), frozenset(SILENT), frozenset(OUTSIDE)
@@ -57,10 +65,40 @@ _NEXT_BLOCK = re.compile(rf"(?=</?(?:{'|'.join(t for t in BLOCKS if t not in ('o
 
 
 class _Block:
-    __slots__ = ("heading", "linked", "main", "outside", "text")
+    __slots__ = ("heading", "linked", "main", "outside", "paragraph", "parts", "text")
+
+    def __init__(self, text: str, linked: int, parts: tuple, main: bool, heading: bool, paragraph: bool):
+        self.text, self.linked, self.parts, self.main, self.heading, self.paragraph = text, linked, parts, main, heading, paragraph
+        self.outside = bool(parts)
+
+
+def _names_outside(attributes: str, main: bool) -> bool:
+    """Whether a class, id or role names a part that is not main text."""
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            words = re.split(r"[_-]+", name)
+            if words[0] in LAYOUT:
+                continue
+            if any(OUTSIDE_NAMES.fullmatch(w) and not ((main or words[0] in ARTICLE) and w in HEADINGS) for w in words):
+                return True
+    return False
+
 
-    def __init__(self, text: str, linked: int, outside: bool, main: bool, heading: bool):
-        self.text, self.linked, self.outside, self.main, self.heading = text, linked, outside, main, heading
+def _spare_wrappers(found: list[_Block], loose: set[int]) -> None:
+    """Parts that are named or tagged as outside but hold the page's text are not: those around the main element, or around nearly all text where there is none."""
+    has_main = any(b.main for b in found)
+    total, of = 0, dict.fromkeys(loose, 0)
+    for b in found:
+        n = len(b.text) if not has_main or b.main else 0
+        total += n
+        for k in b.parts:
+            if k in of:
+                of[k] += n
+    spared = {k for k, n in of.items() if total and n > (0.5 if has_main else 0.8) * total}
+    if spared:
+        for b in found:
+            b.parts = tuple(k for k in b.parts if k not in spared)
+            b.outside = bool(b.parts)
 
 
 def blocks(page: str) -> list[_Block]:
@@ -68,16 +106,20 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside and main from here on
-    outside = main = heading = False
-    in_link = 0
+    stack: list[tuple[str, tuple, bool]] = []  # tag, outside parts and main from here on
+    # tags on the stack since each part was opened, so that the end tag of one that is not there is passed over at once
+    opened: list[dict[str, int]] = [{}]
+    outside: tuple = ()
+    main = heading = paragraph = False
+    in_link = number = 0
+    loose: set[int] = set()  # outside parts that may turn out to hold the text
 
     def flush() -> None:
         nonlocal heading
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(_Block(text, len(" ".join("".join(linked).split())) if linked else 0, outside, main, heading))
+                out.append(_Block(text, len(" ".join("".join(linked).split())) if linked else 0, outside, main, heading, paragraph))
             parts.clear()
             linked.clear()
 
@@ -113,6 +155,8 @@ def blocks(page: str) -> list[_Block]:
                 heading = not closing
             elif tag != "br":
                 heading = False
+            if tag != "br":
+                paragraph = tag == "p" and not closing
         if not closing and tag in _SILENT:
             # raw content up to its end tag; head is only left at its end or at body
             if tag == "head":
@@ -130,28 +174,46 @@ def blocks(page: str) -> list[_Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    break
-                if stack[k][0] in _OUTSIDE or stack[k][0] in MAIN:
-                    break  # a stray end tag does not close the parts around it
-            outside, main = stack[-1][1:] if stack else (False, False)
+            if opened[-1].get(tag):  # a stray end tag does not close the parts around it
+                name = ""
+                while name != tag:
+                    name = stack.pop()[0]
+                    opened[-1][name] -= 1
+                    if name in _OUTSIDE or name in MAIN:
+                        opened.pop()
+            around = stack[-1][1:] if stack else ((), False)
+            if around != (outside, main):
+                flush()  # an inline element ends no block, unless it was a part of its own
+            outside, main = around
         elif tag in _BLOCKS or tag in MAIN or token[3]:
-            own = tag in _OUTSIDE and not (tag == "header" and main)
+            own = sure = tag in _OUTSIDE and not (tag == "header" and main)
+            if tag in ("form", "fieldset"):
+                sure = False
             if token[3] and tag not in ("body", "html", *MAIN):
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(token[3]))
-                own = own or bool(names and OUTSIDE_NAMES.search(names)) or bool(_HIDDEN.search(token[3]))
+                hidden = bool(_HIDDEN.search(token[3]))
+                own, sure = own or hidden or _names_outside(token[3], main), sure or hidden
             if own and not outside:
                 flush()
             if tag == "p":
                 while stack and stack[-1][0] == "p":
+                    opened[-1]["p"] -= 1
                     stack.pop()
-                outside, main = stack[-1][1:] if stack else (False, False)
-            outside, main = outside or own, main or tag in MAIN
+                outside, main = stack[-1][1:] if stack else ((), False)
+            if own:
+                number += 1
+                if len(outside) < NESTED:
+                    outside = (*outside, number)
+                    if not sure:
+                        loose.add(number)
+                elif outside[-1]:
+                    outside = (*outside, 0)  # outside for good
+            main = main or tag in MAIN
             stack.append((tag, outside, main))
+            if tag in _OUTSIDE or tag in MAIN:
+                opened.append({})
+            opened[-1][tag] = opened[-1].get(tag, 0) + 1
     flush()
+    _spare_wrappers(out, loose)
     return out
 
 
@@ -165,7 +227,7 @@ def _first_pass(block: _Block, has_main: bool, fits: bool) -> str:
     if block.outside or (has_main and not block.main):
         return "bad"
     n = len(block.text)
-    if block.linked > LINKS * n and not (has_main and block.linked <= 0.5 * n):
+    if block.linked > LINKS * n and not (has_main and (block.paragraph or block.linked <= 0.5 * n)):
         return "bad"
     if n < SHORT:
         return "short"
@@ -184,7 +246,9 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_main = any(b.main and not b.outside for b in found)
-    fits = has_main or any(len(b.text) >= SHORT and not b.outside and _density(b) >= FEW for b in found)
+    # over all long blocks, as a list of another language meets single blocks by chance
+    long = [b for b in found if len(b.text) >= SHORT and not b.outside]
+    fits = has_main or sum(_density(b) * len(b.text) for b in long) >= FIT * sum(len(b.text) for b in long)
     label = [_first_pass(b, has_main, fits) for b in found]
     n = len(found)
     # nearest decided neighbour on each side; undecided blocks follow both, or the good one inside the main element
