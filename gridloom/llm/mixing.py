@@ -10,10 +10,11 @@ threshold a source, and the documents are filtered by it without any sort.
 A target above a source's size takes every document once, and the documents
 below the threshold of what is left once more.
 
-Cases: a null text has size 0; a null source is the last source; a null id
-hashes as the empty text; rows with the same id are taken alike; an empty table
-gives an empty result. A source without words has target 0. Other columns are
-not looked at by `plan`, and pass through `mix` whatever their names.
+Cases: a null text has size 0; a null source is the last source; a document
+without an id is placed by its text; rows with the same id are taken alike; an
+empty table gives an empty result. A source without words has target 0, and a
+document without words is no part of the mix. Other columns are not looked at
+by `plan`, and pass through `mix` whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ BITS, STEP = 60, 12
 MAX_SOURCES = 100_000
 
 
-def place(key: str):
-    """The document's place, 60 bits of the MD5 of its id as text."""
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+def place(key: str, text: str):
+    """The document's place, 60 bits of the MD5 of its id as text, or of the text of a document without an id."""
+    name = F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def size(text: str):
@@ -63,11 +64,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source: the place below which documents are taken, so that their sizes add up to the budget or just less.
+    """Per source: the place below which documents are taken, so that their sizes come nearest to the budget.
 
     rows: source, place, size. budgets: source, budget; a few rows.
     """
-    found, pending, shift = None, budgets.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").cast("double")), BITS
+    pending, shift = budgets.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").cast("double")), BITS
     while True:
         shift -= STEP
         last = shift <= 24
@@ -76,11 +77,13 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         inside = rows.join(F.broadcast(pending), (rows["source"].eqNullSafe(pending["source"])) & (F.shiftright("place", shift + STEP) == F.col("prefix"))).select(rows["source"], bucket.alias("bucket"), "size", "budget")
         sums = inside.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("budget")).groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("budget") - F.col("upto") + F.col("size")).alias("budget")), "bucket").alias("x"))
+        left = F.col("budget") - F.col("upto") + F.col("size")  # of the budget, before this bucket
+        # the last document is taken where that comes nearer to the budget than to stop before it
+        bound = F.col("bucket") + (F.col("size") - left < left).cast("long") if last else F.col("bucket")
+        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("budget")).groupBy("source").agg(F.min_by(F.struct(bound.alias("bucket"), left.alias("budget")), "bucket").alias("x"))
         cut = storage.materialize(over.select("source", F.col("x.bucket").alias("prefix"), F.col("x.budget").alias("budget")))
         if last:
-            done = cut.select("source", F.col("prefix").alias("threshold"))
-            return done if found is None else found.unionByName(done)
+            return cut.select("source", F.col("prefix").alias("threshold"))
         pending = cut
 
 
@@ -108,7 +111,7 @@ def _times():
 
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
     """Per document row: key, size, source_size, target (of the source) and taken (tokens, repeats counted)."""
-    rows = storage.materialize(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), place(key).alias("place"), size(text).alias("size")))
+    rows = storage.materialize(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), place(key, text).alias("place"), size(text).alias("size")))
     limits = _limits(rows, weights, share, repeats)
     joined = rows.join(F.broadcast(limits), F.col("source").eqNullSafe(F.col("of")), "left")
     return joined.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
@@ -116,8 +119,8 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
     """The documents of the mix, same columns, each as many times as it is taken."""
-    whole = docs.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), place(key).alias("place"), size(text).alias("size"))
-    limits = _limits(storage.materialize(whole.select("source", "place", "size")), weights, share, repeats)
+    whole = docs.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), place(key, text).alias("place"), F.col(text).alias("text"))
+    limits = _limits(storage.materialize(whole.select("source", "place", size("text").alias("size"))), weights, share, repeats)
     joined = whole.join(F.broadcast(limits), F.col("source").eqNullSafe(F.col("of")), "left")
-    times = F.when(F.col("size") > 0, _times()).otherwise(0)
+    times = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), _times()).otherwise(0)
     return joined.select("doc", F.explode(F.array_repeat(F.lit(1), times)).alias("n")).select("doc.*")
