@@ -25,17 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-#: Bytes of sample text a language, and documents that are looked at for them.
+#: Bytes of sample text a language, documents that are looked at for them, and passages of each, spread evenly over the whole text.
 SAMPLE_BYTES = 48_000
 SAMPLE_DOCS = 120
+PASSAGES = 4
 #: Bytes of a text that are compressed at once, so that the dictionary counts throughout a long text.
 PIECE = 4096
-LEVEL = 3
-#: Bytes below which the text is parsed optimally, as each match counts.
-SHORT = 400
+LEVEL = 12
 #: Least difference between best and second language, as a share of the best's bytes.
 MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for found in _MAY_BE_LETTER.finditer(text) for c in found[0])
 
 
 def _plain(text: str) -> bytes:
@@ -51,31 +54,29 @@ class Dictionaries:
 
     def __init__(self, samples: dict[str, bytes]):
         self.samples = samples
-        self._made: dict[bool, list] = {}
+        self._made: list = []
 
     def __getstate__(self):
-        return {"samples": self.samples, "_made": {}}
+        return {"samples": self.samples, "_made": []}
 
-    def _compressors(self, short: bool) -> list:
-        if short not in self._made:
-            level = {"compression_level": 12, "strategy": zstandard.STRATEGY_BTOPT} if short else {"compression_level": LEVEL}
-            parameters = zstandard.ZstdCompressionParameters(**level, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, window_log=17)
-            self._made[short] = []
+    def _compressors(self) -> list:
+        if not self._made:
+            parameters = zstandard.ZstdCompressionParameters(compression_level=LEVEL, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, window_log=17)
             for sample in self.samples.values():
                 content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 content.precompute_compress(compression_params=parameters)
-                self._made[short].append(zstandard.ZstdCompressor(dict_data=content, compression_params=parameters))
-        return self._made[short]
+                self._made.append(zstandard.ZstdCompressor(dict_data=content, compression_params=parameters))
+        return self._made
 
     def sizes(self, data: bytes) -> list[int]:
         """Bytes that the text takes under each language."""
-        made = self._compressors(len(data) < SHORT)
+        made = self._compressors()
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(len(c.compress(p)) for p in pieces) for c in made]
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)"""
-        if not text or not self.samples or not _LETTER.search(text):
+        if not text or not self.samples or not has_letter(text):
             return UNDETERMINED, 0.0, 0.0
         sizes = self.sizes(_plain(text))
         names = list(self.samples)
@@ -94,11 +95,13 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     samples = {}
     if counts:
         share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 2 * sample_docs / n))) for k, n in counts.items()))
-        rows = known.where(F.col("spread") < share).select("lang", "spread", F.substring("text", 1, sample_bytes).alias("text")).limit(4 * sample_docs * len(counts)).collect()
+        each = max(2000, 2 * sample_bytes // sample_docs) // PASSAGES
+        step = F.greatest(F.ceil(F.length("text") / PASSAGES), F.lit(each)).cast("int")
+        passages = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(each)))
+        rows = known.where(F.col("spread") < share).select("lang", "spread", F.array_join(passages, " ").alias("text")).limit(4 * sample_docs * len(counts)).collect()
         for k in sorted(counts, key=lambda k: (-counts[k], k)):
             own = [_plain(r.text) for r in sorted((r for r in rows if r.lang == k), key=lambda r: (r.spread, r.text))]
-            share = max(2000, sample_bytes // sample_docs * 2)
-            data = b" ".join(t[:share] for t in own if len(t) > 20)[:sample_bytes]
+            data = b" ".join(t for t in own if len(t) > 20)[:sample_bytes]
             if len(data) >= 8:
                 samples[k] = data
     return Dictionaries(samples)
