@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,10 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(label[first : first + rows]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.astype(np.float32)))], ["label", "place", "value"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *_metadata(metadata)).join(F.broadcast(chosen), "key")
-    found = rows.select("label", "text", *(f"m{k}" for k in range(len(metadata)))).mapInArrow(run, "label double, place array<int>, value array<float>").toPandas()
-    found = found.sort_values("label", kind="stable", key=lambda s: s + pd.Series([float(np.sum(v)) for v in found["value"]], index=s.index) * 1e-6).reset_index(drop=True)
+    # one row for each document, so that repeated ones do not go beyond the bound
+    inputs = ("text", *(f"m{k}" for k in range(len(metadata))))
+    once = rows.groupBy("key").agg(F.max(F.struct("label", *inputs)).alias("x")).select("x.*")
+    found = once.mapInArrow(run, "label double, place array<int>, value array<float>").toArrow().combine_chunks()
+    label, (place, value) = found["label"].to_numpy(), ([x.chunk(0) for x in (found["place"], found["value"])] if len(found) else ((), ()))
+    bounds = place.offsets.to_numpy() if len(found) else np.zeros(1, np.int32)
+    place, value = (x.values.to_numpy() if len(found) else np.empty(0) for x in (place, value))
+    # an order that does not depend on how the rows were dealt
+    order = np.lexsort((np.add.reduceat(value, bounds[:-1]) if len(found) else (), label))
     machine = Machine(_size(len(metadata)))
-    machine.fit([(np.asarray(p), np.asarray(v)) for p, v in zip(found["place"], found["value"], strict=True)], found["label"].to_numpy())
+    machine.fit([(place[bounds[i] : bounds[i + 1]], value[bounds[i] : bounds[i + 1]]) for i in order], label[order])
     return machine
 
 

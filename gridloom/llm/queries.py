@@ -16,9 +16,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = crc_remainder("doc_id", 4) == 2
-    machine = quality_fm.fit(docs.where(~held), _read(spark, sf_dir, "labels").where(~held))
+    machine = quality_fm.fit(docs.where(~F.coalesce(held, F.lit(False))), _read(spark, sf_dir, "labels").where(~F.coalesce(held, F.lit(False))))
     scored = quality_fm.score(docs, machine)
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
