@@ -137,15 +137,6 @@ def test_extraction():
     assert html_extract.main_text(None) == "" and html_extract.main_text("a < b") == "a < b"
 
 
-def test_simhash_matches_brute_force():
-    rng = np.random.default_rng(5)
-    sizes = [5, 255, 256, 1, 1000]
-    hashes = rng.integers(0, 1 << 64, sum(sizes), dtype=np.uint64)
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[f : f + n]) > n) for f, n in zip(first, sizes, strict=True)]
-    assert line_dedup.simhashes(hashes, first).tolist() == want
-
-
 def test_line_dedup_large_groups(spark):
     # 40 lines in pairwise near copies share keys, more than are paired in place; one other line stays
     words = [f"v{i}" for i in range(120)]
@@ -185,14 +176,16 @@ def _edits(a, b):
 def test_line_dedup_short_lines(spark):
     d = spark.createDataFrame([(1, "Read more\n今日は天気がいい\nkeep one of these"), (2, "read  more!\n...\n今日は天気がいい\nkeep two of these"), (3, "...\n")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped, r.n_fuzzy) for r in line_dedup.report(d).collect()}
-    assert got == {1: ("Read more\n今日は天気がいい\nkeep one of these", 0, 0), 2: ("...\nkeep two of these", 2, 0), 3: ("...\n", 0, 0)}
+    # lines of few words are compared by letters like all others: 14 of 17 are the same in the last ones
+    assert got == {1: ("Read more\n今日は天気がいい\nkeep one of these", 0, 0), 2: ("...", 3, 1), 3: ("...\n", 0, 0)}
 
 
 def test_line_dedup_repeated_rows(spark):
     near = BASE.replace("w20", "x20")
     d = spark.createDataFrame([(1, BASE)] + [(2, f"{near}\n{near}\nother line of some words")] * 3, "doc_id long, text string")
-    got = [(r.n_dropped, r.n_fuzzy, r.text) for r in line_dedup.report(d).where("doc_id = 2").collect()]
-    assert got == [(2, 2, "other line of some words")] * 3
+    got = sorted((r.n_dropped, r.n_fuzzy, r.text) for r in line_dedup.report(d).where("doc_id = 2").collect())
+    # each row is one of its own: of the repeated ones the first keeps the line that no other document has
+    assert got == [(2, 2, "other line of some words"), (3, 2, ""), (3, 2, "")]
 
 
 def test_keep_first_keeps_one_row_of_a_component(spark):
@@ -222,3 +215,55 @@ def test_frequent_words_do_not_depend_on_batches(spark):
     texts = spark.createDataFrame([(f"common{i % 2} rare{i}",) for i in range(12)], "text string")
     found = [brown_lm._frequent(texts.repartition(n), "text").tolist() for n in (1, 12)]
     assert found[0] == found[1] and len(found[0]) == 14
+
+
+P = "The cat sat on the mat and it was happy to be there with all of the others who had come to see it that day. " * 3
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<div class="page has-sidebar"><p>{P}</p></div>', P.strip()),
+    (f'<article><div class="entry-header"><h1>A title</h1></div><p>{P}</p></article>', "A title\n" + P.strip()),
+    (f"<form><div><p>{P}</p></div></form>", P.strip()),
+    (f"<form><article><p>{P}</p></article></form><form><p>Sign in here with your name</p></form>", P.strip()),
+    (f'<article><p>{P}</p><p>See <a href="x">the long list of all other parts of this</a>.</p></article>', P.strip() + "\nSee the long list of all other parts of this."),
+    (f'<article><p>{P}</p></article><div class="comments"><p>{P * 5}</p></div>', P.strip()),
+    ("<p>" + "Wczoraj rano dzieci poszły do lasu, gdzie znalazły wiele grzybów oraz jagód, które potem zaniosły swojej babci mieszkającej nad rzeką. " * 3 + "</p><ul><li><a href=x>Strona główna serwisu z linkiem</a></li></ul>", ("Wczoraj rano dzieci poszły do lasu, gdzie znalazły wiele grzybów oraz jagód, które potem zaniosły swojej babci mieszkającej nad rzeką. " * 3).strip()),
+])
+def test_extraction_rules(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div class=x>" * 70_000 + "</p>" * 30_000, "<p><nav>" + "<div>" * 100_000 + "</p>" * 100_000, "<nav>" * 150_000, "<div class=ad>" * 70_000, "<b" * 300_000, "<a href='" * 100_000])
+def test_extraction_of_broken_tags_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page + "the end")
+    assert time.process_time() - began < 3
+
+
+def test_mixing_takes_the_nearer_side(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 90)), f"s{i % 3}") for i in range(400)] + [(None, f"no id {i}", "s1") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(df).toPandas()
+    for _, own in got.groupby("target"):
+        largest = own["size"].max()
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= largest / 2
+    assert (got["taken"] <= 2 * got["size"]).all()
+    # brute force: what is taken grows along the places, up to the place nearest to the budget
+    sizes = df.groupBy("source").agg(F.sum(mixing.size("text")).alias("n")).collect()
+    target = mixing.targets([(r.source, r.n) for r in sizes])
+    for r in sizes:
+        own = sorted(df.where(F.col("source") == r.source).select(mixing.place("doc_id", "text").alias("p"), mixing.size("text").alias("s")).collect(), key=lambda x: x.p)
+        whole = int(target[r.source] // r.n)
+        budget, sums = target[r.source] - whole * r.n, [0]
+        for x in own:
+            sums.append(sums[-1] + x.s)
+        want = whole * r.n + min(sums, key=lambda s: (abs(s - budget), s))
+        taken = mixing.plan(df).where((F.col("source_size") == r.n) & (F.round("target", 6) == round(target[r.source], 6))).agg(F.sum("taken")).first()[0]
+        assert abs(taken - want) <= 1e-6 or abs(abs(taken - target[r.source]) - abs(want - target[r.source])) < 1e-6
+
+
+def test_letters(spark):
+    assert not any(language_id.has_letter(x) for x in ("²", "½", "Ⅷ", "12 _", ""))
+    assert all(language_id.has_letter(x) for x in ("a", "²é", "中"))
