@@ -9,18 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table by way of the shared checkpoint folder, so that lineage does not grow with the rounds."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; one of our own where that is unset on a local master, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark._gridloom_graph = getattr(spark, "_gridloom_graph", None) or tempfile.mkdtemp(prefix="gridloom-graph-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table by way of the shared folder, so that lineage does not grow with the rounds, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Per node of the edges: node, component (its smallest reachable node).
 
     Alternates two steps on the edge table until it no longer changes: every
@@ -31,20 +43,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = e.where("u = v").select("u")
-    e = _written(e.where("u <> v").distinct())
+    e, path = _written(e.where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = _written(small.where("u <> v").distinct())
+        last = path
+        e, path = _written(small.where("u <> v").distinct())
+        _delete(e.sparkSession, last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -49,3 +49,9 @@ def show_as(df: DataFrame, row: str, column: str, value: str, base: object) -> D
     return df.select(row, column, value,
         (x - of_base).alias("difference_from"), F.round(x / of_base, 6).alias("percent_of"), F.round((x - of_base) / of_base, 6).alias("percent_difference_from"), running.alias("running_total"),
         F.round(x / total_row, 6).alias("percent_of_row"), F.round(x / total_column, 6).alias("percent_of_column"), F.round(x / grand, 6).alias("percent_of_grand_total"), F.round((x * grand) / (total_row.cast("double") * total_column), 6).alias("index"))
+
+
+def first_of_field(df: DataFrame, field: str, keys: list[tuple[str, bool]], n: int) -> DataFrame:
+    """The first n rows of each item of a field, by (column, descending) keys."""
+    order = Window.partitionBy(field).orderBy(*(F.col(c).desc() if d else F.col(c).asc() for c, d in keys))
+    return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")

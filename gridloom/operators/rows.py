@@ -68,7 +68,7 @@ def time_period(column: str, as_of: str, period: str) -> Column:
         "last_week": (F.date_sub(week, 7), week), "this_week": (week, F.date_add(week, 7)), "next_week": (F.date_add(week, 7), F.date_add(week, 14)),
         "last_month": (F.add_months(month, -1), month), "this_month": (month, F.add_months(month, 1)), "next_month": (F.add_months(month, 1), F.add_months(month, 2)),
     }[period]
-    return (F.to_date(column) >= start) & (F.to_date(column) < end)
+    return (F.col(column) >= start) & (F.col(column) < end)  # half-open bounds of the column itself, which a scan can use
 
 
 def first_match(rules: list[tuple[str, Column]], otherwise: str | None = None) -> Column:
@@ -123,7 +123,8 @@ def merge_by_header(*tables: DataFrame, label: str = "sheet", names: tuple[str,
 def first_by_id(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each id; rows with a blank id all stay."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rn", first).where((F.col("_rn") == 1) | is_blank(key)).drop("_rn")
+    # blank ids apart: they would all meet in one window
+    return df.where(~is_blank(key)).withColumn("_rn", first).where("_rn = 1").drop("_rn").unionByName(df.where(is_blank(key)))
 
 
 def unpivot_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

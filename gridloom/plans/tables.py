@@ -179,9 +179,9 @@ def pivot_date_hierarchy(s, d):
     return o.rollup("year", "quarter", "month").agg(F.count("*").alias("n"), F.sum(_money("o_totalprice")).cast("double").alias("total"))
 
 
-@_query("SELECT (floor((p_retailprice - 900) / 100) * 100 + 900)::DOUBLE AS price_from, count(*) AS n, min(p_size) AS least_size FROM part GROUP BY 1")
+@_query("SELECT (floor((p_retailprice - 900) / 5) * 5 + 900)::DOUBLE AS price_from, count(*) AS n, min(p_size) AS least_size FROM part GROUP BY 1")
 def pivot_number_range(s, d):
-    return _t(s, d, "part").groupBy(pivot.number_range("p_retailprice", 900, 100).cast("double").alias("price_from")).agg(F.count("*").alias("n"), F.min("p_size").alias("least_size"))
+    return _t(s, d, "part").groupBy(pivot.number_range("p_retailprice", 900, 5).cast("double").alias("price_from")).agg(F.count("*").alias("n"), F.min("p_size").alias("least_size"))
 
 
 @_query("""SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*), 6) AS share FROM orders GROUP BY 1""")
@@ -261,9 +261,13 @@ def source_ids(s, d):
     return _t(s, d, "pages").select("page_id", documents.source_id(F.col("url")).alias("source_id"), documents.plain_space(F.col("url")).alias("url"))
 
 
-@_query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey % 400 AS b FROM lineitem WHERE l_orderkey % 400 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || conv_id AS a, 't' || md5(array_to_string(string_split(trim(text), ' ')[1:3], ' ')) AS b FROM conversations WHERE text IS NOT NULL),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
 def conversation_components(s, d):
-    edges = _t(s, d, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey") % 400).alias("dst"))
+    turns = _t(s, d, "conversations")
+    # turns that open with the same words belong together, as do those of one conversation
+    topic = F.md5(F.substring_index(F.trim("text"), " ", 3))
+    edges = turns.where("text is not null").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("src"), F.concat(F.lit("t"), topic).alias("dst"))
     return graph.connected_components(edges)
 
 

@@ -32,13 +32,17 @@ def detect_delimiter(lines: list[str]) -> str:
     return max(DELIMITERS, key=weight)
 
 
-def read(spark: SparkSession, path: str, *, schema: T.StructType | None = None, sep: str | None = None, header: bool = True, strict: bool = False, null_value: str | None = None, constants: dict[str, object] | None = None, multiline: bool = True) -> DataFrame:
-    """A CSV table: all columns text unless a schema is given; missing trailing fields are empty texts, extra ones are left out; strict fails on either."""
-    head = [r.value for r in spark.read.text(path).limit(20).collect()]
-    sep = sep or detect_delimiter(head)
+def read(spark: SparkSession, path: str, *, schema: T.StructType | None = None, sep: str | None = None, header: bool = True, strict: bool = False, null_value: str | None = None, constants: dict[str, object] | None = None, names: list[str] | None = None, multiline: bool = False) -> DataFrame:
+    """A CSV table: all columns text unless a schema is given; missing trailing fields are empty texts, extra ones are left out; strict fails on either.
+
+    multiline: line feeds within quotes, at the cost of one task for each file. names: column names of a file without a header.
+    """
+    sep = sep or detect_delimiter([r.value for r in spark.read.text(path).limit(20).collect()])
     options = {"sep": sep, "escape": '"', "multiLine": multiline, "mode": "FAILFAST" if strict else "PERMISSIVE", "enforceSchema": True}
     if null_value is not None:
         options["nullValue"] = null_value
+    if schema is None and names is not None:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in unique_headers(names)])
     if schema is None:
         first = spark.read.options(**(options | {"mode": "PERMISSIVE"})).csv(path).first()
         names = unique_headers(list(first)) if header and first else [f"H{i}" for i in range(1, len(first or []) + 1)]
@@ -51,6 +55,35 @@ def read(spark: SparkSession, path: str, *, schema: T.StructType | None = None,
     return df
 
 
+def read_with_errors(spark: SparkSession, path: str, schema: str, *, sep: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, rows that do not: record, message). Every column of the schema must be there and be of its kind."""
+    lines = spark.read.text(path).withColumnRenamed("value", "record")
+    wanted = spark.createDataFrame([], schema).schema
+    if header:
+        first = lines.first()
+        lines = lines.where(F.col("record") != (first["record"] if first else ""))
+    fields = F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(len(wanted) + 1))), {"sep": sep, "escape": '"'})
+    cells = lines.where("trim(record) <> ''").select("record", fields.alias("f"))
+    cast = [F.col(f"f.c{i}").try_cast(f.dataType) for i, f in enumerate(wanted)]
+    message = F.coalesce(
+        F.when(F.col(f"f.c{len(wanted) - 1}").isNull(), "too few fields").when(F.col(f"f.c{len(wanted)}").isNotNull(), "too many fields"),
+        *(F.when(F.col(f"f.c{i}").isNotNull() & c.isNull(), f"{f.name}: no {f.dataType.simpleString()}") for i, (f, c) in enumerate(zip(wanted, cast, strict=True))),
+    )
+    judged = cells.withColumn("message", message)
+    return judged.where("message is null").select(*(c.alias(f.name) for c, f in zip(cast, wanted, strict=True))), judged.where("message is not null").select("record", "message")
+
+
+def read_w3c(spark: SparkSession, path: str) -> DataFrame:
+    """A log whose comment line `#Fields: a b c` names the space-delimited columns; all text, - is null."""
+    lines = spark.read.text(path)
+    header = lines.where(F.col("value").startswith("#Fields:")).first()
+    if header is None:
+        raise ValueError("no line #Fields:")
+    names = unique_headers(header["value"][8:].split())
+    parts = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"sep": " ", "nullValue": "-"})
+    return lines.where(~F.col("value").startswith("#")).select(parts.alias("f")).select(*(F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)))
+
+
 def escape_formulas(column: Column) -> Column:
     """A text that a spreadsheet would run as a formula, with an apostrophe before it."""
     return F.when(column.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), column)).otherwise(column)
