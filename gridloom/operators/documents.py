@@ -15,11 +15,11 @@ def chunks(df: DataFrame, key: str, text: str, max_chars: int = 8000) -> DataFra
     """Chunks of fixed size (256 characters at least): key, chunk_index, chunk_id, start_line, text, chunk_hash, tokens. Line ends become \\n; an empty text is one empty chunk."""
     width = max(256, max_chars)
     plain = df.select(F.col(key), F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n").alias("_t"))
-    parts = plain.select(key, "_t", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("_t") - 1) / width).cast("int")))).alias("chunk_index"))
-    body = F.substring("_t", F.col("chunk_index") * width + 1, F.lit(width))
-    before = F.substring("_t", F.lit(1), F.col("chunk_index") * width)
-    lines = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    out = parts.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.format_string("text:%s:%04d", F.col(key).cast("string"), F.col("chunk_index")).alias("chunk_id"), lines.cast("long").alias("start_line"), body.alias("text"))
+    # each text is cut and its line feeds are counted once
+    bodies = F.when(F.length("_t") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
+    cut = plain.select(F.col(key), bodies.alias("_b")).withColumn("_f", F.transform("_b", lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))))
+    parts = cut.select(F.col(key), F.posexplode(F.transform("_b", lambda b, i: F.struct(b.alias("text"), (F.aggregate(F.slice("_f", F.lit(1), i), F.lit(1), lambda s, n: s + n)).alias("line")))).alias("chunk_index", "x"))
+    out = parts.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.format_string("text:%s:%04d", F.col(key).cast("string"), F.col("chunk_index")).alias("chunk_id"), F.col("x.line").cast("long").alias("start_line"), "x.text")
     return out.withColumn("chunk_hash", F.sha2("text", 256)).withColumn("tokens", token_estimate(F.col("text")))
 
 

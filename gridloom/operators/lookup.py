@@ -16,6 +16,14 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str
     return joined.withColumn(name, found).drop("_k", "_p")
 
 
+def hlookup(df: DataFrame, on: str, table: DataFrame, key: str, row: str, *, name: str = "found") -> DataFrame:
+    """Adds the cell of the table's row whose key is `row`, from the column that `on` names; cells are text."""
+    from . import rows
+
+    cells = rows.unpivot_cells(table.where(F.col(key).cast("string") == row), key, [c for c in table.columns if c != key])
+    return df.join(cells.select(F.col("column").alias("_c"), F.col("value").alias(name)), F.col(on).cast("string") == F.col("_c"), "left").drop("_c")
+
+
 def nearest(df: DataFrame, on: str, table: DataFrame, table_on: str, value: str, *, by: str, larger: bool = False, name: str = "found") -> DataFrame:
     """Exact match or the next smaller (larger) one within `by`, as a window over both tables together."""
     left = df.select(F.struct("*").alias("_row"), F.col(by).alias("_by"), F.col(on).alias("_on"), F.lit(None).cast(table.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))

@@ -31,6 +31,51 @@ def custom(conditions: list[Column], match_all: bool) -> Column:
     return reduce(lambda a, b: (a & b) if match_all else (a | b), conditions)
 
 
+def compare(column: str, operator: str, *values) -> Column:
+    """A typed comparison that is never null: eq, ne, lt, le, gt, ge, in, between, null or not_null. A null value only meets null and ne."""
+    c, v = F.col(column), [F.lit(x) for x in values]
+    found = {
+        "eq": lambda: c == v[0], "ne": lambda: ~c.eqNullSafe(v[0]), "lt": lambda: c < v[0], "le": lambda: c <= v[0], "gt": lambda: c > v[0], "ge": lambda: c >= v[0],
+        "in": lambda: c.isin(list(values)), "between": lambda: c.between(v[0], v[1]), "null": lambda: c.isNull(), "not_null": lambda: c.isNotNull(),
+    }[operator]()
+    return F.coalesce(found, F.lit(False))
+
+
+def map_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The wanted columns (name: type), each from the column whose name is the same but for case, spaces and punctuation; null where there is none or the text does not fit the type."""
+    plain = lambda n: "".join(x for x in n.lower() if x.isalnum())
+    have: dict[str, str] = {}
+    for c in df.columns:
+        have.setdefault(plain(c), c)
+    found = {n: have.get(plain(n)) for n in wanted}
+    return df.select(*((F.col(f"`{found[n]}`").cast("string").try_cast(kind) if found[n] else F.lit(None).cast(kind)).alias(n) for n, kind in wanted.items()))
+
+
+def change_columns(df: DataFrame, renames: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed and dropped; a name that would stand twice, in any case, is rejected."""
+    names = [renames.get(c, c) for c in df.columns if c not in drop]
+    if len({n.lower() for n in names}) < len(names) or not set(renames) | set(drop) <= set(df.columns):
+        raise ValueError("column names must be there, and be unique after the change")
+    return df.select(*(F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns if c not in drop))
+
+
+def append_by_position(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of tables of one width, under the first one's names."""
+    if any(len(o.columns) != len(first.columns) for o in others):
+        raise ValueError("tables of different widths")
+    return reduce(DataFrame.union, others, first)
+
+
+def in_timeline(column: str, level: str, year: int, part: int = 1) -> Column:
+    """Whether a time is in the year, or in its quarter, month or day (of the year) `part`."""
+    if level == "day":
+        start = F.date_add(F.make_date(F.lit(year), F.lit(1), F.lit(1)), part - 1)
+        return (F.col(column) >= start) & (F.col(column) < F.date_add(start, 1))
+    months = {"year": 12, "quarter": 3, "month": 1}[level]
+    start = F.add_months(F.make_date(F.lit(year), F.lit(1), F.lit(1)), months * (part - 1))
+    return (F.col(column) >= start) & (F.col(column) < F.add_months(start, months))
+
+
 def wildcard(column: str, pattern: str) -> Column:
     """Whole-text match of * and ?, with ~ as escape, ignoring case."""
     out, escaped = "", False

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import pivot, records, rows
+from ..operators import lookup, pivot, records, rows
 from ..sources import csv
 from .tables import _money, _query, _t
 
@@ -202,6 +202,50 @@ def pivot_field_sort(s, d):
     return pivot.first_of_field(joined, "n_name", [("o_totalprice", True), ("o_orderkey", False)], 3).select("n_name", "o_orderkey", "o_totalprice")
 
 
+@_query("""SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus IN ('O', 'P') OR o_totalprice BETWEEN 10000 AND 100000) AND (o_orderpriority <> '5-LOW' OR o_totalprice > 300000)""")
+def typed_comparisons(s, d):
+    c = rows.compare
+    return _t(s, d, "orders").where(~(c("o_orderstatus", "in", "O", "P") | c("o_totalprice", "between", 10000.0, 100000.0)) & (c("o_orderpriority", "ne", "5-LOW") | c("o_totalprice", "gt", 300000.0))).select("o_orderkey")
+
+
+@_query("SELECT o_orderkey AS \"orderKey\", o_orderdate::DATE AS \"ORDER DATE\", left(o_orderpriority, 1)::INT AS urgency, NULL::DOUBLE AS missing FROM orders")
+def column_mapping(s, d):
+    table = _t(s, d, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_orderdate").alias("order_date"), F.substring("o_orderpriority", 1, 1).alias("Urgency!"))
+    return rows.map_columns(table, {"orderKey": "long", "ORDER DATE": "date", "urgency": "int", "missing": "double"})
+
+
+@_query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+def column_change(s, d):
+    return rows.change_columns(_t(s, d, "nation"), {"n_nationkey": "id", "n_name": "name"}, drop=("n_regionkey",))
+
+
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_by_position(s, d):
+    return rows.append_by_position(_t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), _t(s, d, "supplier").select("s_suppkey", "s_name"))
+
+
+@_query("SELECT o_orderkey, quarter(o_orderdate) = 2 AND year(o_orderdate) = 1996 AS in_quarter, year(o_orderdate) = 1996 AND month(o_orderdate) = 7 AS in_month FROM orders WHERE year(o_orderdate) = 1996")
+def timeline_scope(s, d):
+    return _t(s, d, "orders").where(rows.in_timeline("o_orderdate", "year", 1996)).select("o_orderkey", rows.in_timeline("o_orderdate", "quarter", 1996, 2).alias("in_quarter"), rows.in_timeline("o_orderdate", "month", 1996, 7).alias("in_month"))
+
+
+@_query("SELECT n_nationkey, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def hlookup(s, d):
+    wide = _t(s, d, "region").groupBy(F.lit("name").alias("row")).pivot("r_regionkey", [0, 1, 2, 3, 4]).agg(F.first("r_name"))
+    return lookup.hlookup(_t(s, d, "nation"), "n_regionkey", wide, "row", "name", name="region").select("n_nationkey", "region")
+
+
+@_query("SELECT hour(ts) AS hour, minute(ts) // 15 AS quarter_hour, dayofweek(ts) + 1 AS weekday, count(*) AS n, max(value) AS largest FROM events GROUP BY 1, 2, 3")
+def date_units(s, d):
+    return _t(s, d, "events").groupBy(F.hour("ts").cast("long").alias("hour"), F.floor(F.minute("ts") / 15).alias("quarter_hour"), F.dayofweek("ts").cast("long").alias("weekday")).agg(F.count("*").alias("n"), F.max("value").alias("largest"))
+
+
+@_query("SELECT page_id, CASE WHEN length(url) > 20 THEN left(url, 19) || '…' ELSE url END AS short, CASE WHEN url LIKE '%.com%' THEN '.com' ELSE '' END AS ending FROM pages")
+def text_limits(s, d):
+    url = F.col("url")
+    return _t(s, d, "pages").select("page_id", scalars.truncate(url, 20).alias("short"), scalars.extension(F.when(url.contains(".com"), " COM ")).alias("ending"))
+
+
 def _shared(s) -> str:
     from ..operators import graph
 
