@@ -14,6 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the factorisation machine. Null and empty texts are scored from their statistics; repeated rows are scored each; a null doc_id is not held out and has no label; an empty table gives no rows; other columns but n_chars are not looked at."""
     docs = _read(spark, sf_dir, "documents")
     held = crc_remainder("doc_id", 4) == 2
     machine = quality_fm.fit(docs.where(~F.coalesce(held, F.lit(False))), _read(spark, sf_dir, "labels").where(~F.coalesce(held, F.lit(False))))
@@ -22,6 +23,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under Brown classes. A null text is empty and has one token, its end; rows with the same id and text score alike; a null doc_id is not held out; other columns are not looked at."""
     docs = _read(spark, sf_dir, "documents")
     held = crc_remainder("doc_id", 10) == 0
     out = brown_lm.score(docs, held)
@@ -29,22 +31,27 @@ def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. A null text counts as empty and fails the base rules; null languages and sources are groups of their own; repeated rows count each; equal values at a cutoff are kept; other columns are not looked at."""
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes. A null text has size 0 and is never taken; null sources come last; rows with the same id are taken alike, those without an id by their text; other columns are not looked at."""
     return mixing.plan(_read(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of linked texts. A null text, or one without words, links with nothing; rows with the same id are one document; a null id counts as the smallest; other columns are not looked at."""
     return ngram_join.join(_read(spark, sf_dir, "documents"), size=4, threshold=85)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated and similar lines. A null text stays null and has no lines; of equal occurrences the one of the smallest id, then the first in the table, stays; repeated rows are rows of their own; other columns are not looked at."""
     return line_dedup.report(_read(spark, sf_dir, "documents"), row=storage.file_row())
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words within benchmark windows. A null or empty text has no words; items without words have no windows; repeated rows are scanned each; other columns are not looked at."""
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -53,6 +60,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language. Null texts and those without a letter are `und` with score 0; equal sizes go to the language with more rows; repeated rows are judged each; other columns are not looked at."""
     docs = _read(spark, sf_dir, "documents")
     held = crc_remainder("doc_id", 4) == 2
     dictionaries = language_id.learn(docs.where(~held))
@@ -61,21 +69,50 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens. Null and empty texts have none; repeated rows are counted each; other columns are not looked at."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text. Null and empty html gives an empty text; repeated rows are extracted each; other columns are not looked at."""
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_brown_class_lm, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WHITE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_ROUNDED = "v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)::INT)"
 SQL: dict[str, str] = {
     "op7_benchmark_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
   i AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM s), bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM i),
   x AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n), h AS (SELECT r, p, x.n, item_id FROM x JOIN bw ON x.n = bw.n AND array_to_string(w[p:p + x.n - 1], ' ') = k),
   c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r), t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r)
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+    "op3_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_WHITE_WORDS} AS w FROM documents),
+  i AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3), g AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS n FROM i),
+  h AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
+  y AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+  c AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(y.n, 0)::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN y USING (r) LEFT JOIN h USING (r)),
+  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+  k(ratio, below, above) AS (VALUES ('symbols', NULL, 60), ('length', 1500, 1500), ('lines', NULL, 30), ('repeats', NULL, 400)),
+  v AS (SELECT r, lang, source, base_failed, ratio, below, above, (CASE ratio WHEN 'symbols' THEN n_symbols WHEN 'length' THEN word_chars WHEN 'lines' THEN n_dup_lines ELSE n_repeat_words END * 1000) // greatest(n_words, 1) AS v FROM b, k),
+  x AS (SELECT *, {_ROUNDED} AS u FROM v),
+  s AS (SELECT 2 AS level, lang, source, ratio, u FROM x WHERE NOT base_failed UNION ALL SELECT 1, lang, NULL, ratio, u FROM x WHERE NOT base_failed UNION ALL SELECT 0, NULL, NULL, ratio, u FROM x WHERE NOT base_failed),
+  o AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, ratio ORDER BY u) AS upto, count(*) OVER (PARTITION BY level, lang, source, ratio) AS total FROM s),
+  q AS (SELECT level, lang, source, ratio, max(total) AS total, min(u) FILTER (upto * 4 >= total) AS q1, min(u) FILTER (upto * 4 >= total * 3) AS q3 FROM o GROUP BY level, lang, source, ratio),
+  m AS (SELECT x.r, bool_or(u > p.q3 + greatest(3 * (p.q3 - p.q1), above) OR coalesce(u < p.q1 - greatest(3 * (p.q3 - p.q1), below), false) AND below IS NOT NULL) AS bad FROM x
+    LEFT JOIN q a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source AND a.ratio = x.ratio AND a.total >= 200
+    LEFT JOIN q e ON e.level = 1 AND e.lang IS NOT DISTINCT FROM x.lang AND e.ratio = x.ratio AND e.total >= 200 JOIN q z ON z.level = 0 AND z.ratio = x.ratio
+    JOIN q p ON p.ratio = x.ratio AND p.level = CASE WHEN a.level IS NOT NULL THEN 2 WHEN e.level IS NOT NULL THEN 1 ELSE 0 END AND (p.level = 0 OR p.lang IS NOT DISTINCT FROM x.lang) AND (p.level < 2 OR p.source IS NOT DISTINCT FROM x.source) GROUP BY x.r)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b LEFT JOIN m USING (r)""",
+    "op5_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM i), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)), u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+  r(x, y) AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x), m AS (SELECT x, min(y) AS y FROM r GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id))::BIGINT AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON x = doc_id""",
 }
 
 
@@ -84,4 +121,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(SQL)
\ No newline at end of file
