@@ -47,7 +47,7 @@ REPORT = 4
 #: Texts that are compared with one copy of their partner's text.
 LEAVES = 500
 #: Times that components are formed before all pairs across them are made.
-ROUNDS = 3
+ROUNDS = 5
 _NULL = -(1 << 63)
 _U = np.uint64
 _BITS = 22
@@ -287,30 +287,38 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 
     # one other class for each: the key's own choice of a class, of all its keys the one with most keys in common;
     # then again among classes of different components
-    links = parts = None
+    links = parts = tried = None
     rest = shared
     for turn in range(ROUNDS):
         chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), *(F.col(c) for c in rest.columns if c != "key"))).over(everyone)
         able = F.col("component") != F.col("c.component") if turn else F.col("id") != F.col("c.id")
         stars = rest.select("*", chosen.alias("c")).where(able & _sizes_allow(F.col("n"), F.col("c.n"), threshold)).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common"))
-        best = _parities_checked(stars.groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", "x.other"), classes, threshold)
+        if tried is not None:
+            stars = stars.join(tried, ["id", "other"], "left_anti")
+        picked = storage.materialize(stars.groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", "x.other"))
+        best = _parities_checked(picked, classes, threshold)
         more = _verified(best, docs, size, threshold)
+        # what was looked at is not looked at again, from either side
+        both = picked.unionByName(picked.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        seen = storage.materialize(both if tried is None else tried.unionByName(both))
         every = more if links is None else storage.materialize(links.unionByName(more))
         found = storage.materialize(connected_components(every, "a", "b"))
         label = found.withColumnRenamed("node", "id")
         labelled = rest.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         still = storage.materialize(labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi"))
-        storage.discard(best, rest, *([] if links is None else [links, more, parts]))
-        links, parts, rest = every, found, still
+        storage.discard(picked, best, rest, *([] if links is None else [links, more, parts, tried]))
+        links, parts, tried, rest = every, found, seen, still
+        if rest.isEmpty():
+            break
 
     # whatever shares a key across components
     sides = storage.materialize(rest.join(classes.select("id", "parity"), "id"))
     x, y = sides.alias("x"), sides.alias("y")
     across = (F.col("x.component") < F.col("y.component")) & _sizes_allow(F.col("x.n"), F.col("y.n"), threshold) & _parities_allow(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"), threshold)
-    pairs = storage.materialize(x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct())
+    pairs = storage.materialize(x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct().join(tried, ["id", "other"], "left_anti"))
     more = _verified(pairs, docs, size, threshold)
     parts = storage.materialize(connected_components(links.unionByName(more), "a", "b"))
-    storage.discard(sides, rest, pairs, links, more)
+    storage.discard(sides, rest, pairs, links, more, tried)
 
     labels = classes.select(*same, "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = documents.select("id", *same).join(labels, list(same), "left")
