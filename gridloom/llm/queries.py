@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, storage, token_counts
+from . import brown_lm, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_fm, quality_rules, storage, token_counts, token_file
 from .textbatch import crc_remainder
 
 
@@ -78,7 +80,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_brown_class_lm, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction)}
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in files of token ids. A null text counts as empty and has its end id alone; rows without a doc_id come first; repeated rows stand each; an empty table gives no rows; other columns are not looked at."""
+    import public_tokenizers
+
+    path = f"{storage.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=2, row=storage.file_row())
+    return token_file.read(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_brown_class_lm, op3_quality_rules, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_token_counts, op10_html_extraction, op12_token_file)}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WHITE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
