@@ -67,8 +67,9 @@ def url_kind(url: Column) -> Column:
 
 
 def instruction_signals(text: Column, rules: dict[str, list[str]] = INSTRUCTION_SIGNALS) -> Column:
-    """The names of the signals of which the text has a phrase, with punctuation and white space as one space and in any case."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{P}]+", " "), r"[\p{Cf}\p{Cc}]+", ""))
+    """The names of the signals of which the text has a phrase, in any case: hidden characters count as nothing, then punctuation and white space as one space."""
+    seen = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cf}\p{Cc}&&[^\x09-\x0D\x85]]+", "")
+    plain = F.lower(F.regexp_replace(seen, r"[\x09-\x0D\x85\p{Z}\p{P}]+", " "))
     has = lambda phrases: reduce(lambda a, b: a | b, (plain.contains(p) for p in phrases))
     return F.array_compact(F.array(*(F.when(has(phrases), F.lit(name)) for name, phrases in rules.items())))
 

@@ -82,18 +82,21 @@ def consolidate(tables: list[DataFrame], keys: list[str], value: str) -> DataFra
 
 
 def criterion(column: str, text: str) -> Column:
-    """A criterion such as >=10, <>x or Bran*: an operator, then a number, or text with ? and * as wildcards in any case."""
+    """A criterion such as >=10, <>x or Bran*: an operator, then a number, or text with ? and * as wildcards (~ before one takes it as it is) in any case.
+
+    Without an operand, = is blank and <> is not blank. A blank cell is unequal to any other operand, and neither smaller nor larger.
+    """
     sign, operand = re.match(r"(>=|<=|<>|>|<|=)?(.*)", text, re.S).groups()
-    try:
-        left, right = F.col(column).try_cast("double"), F.lit(float(operand))
-    except ValueError:
-        left, right = F.lower(F.col(column).cast("string")), F.lit(operand.lower())
-        if sign in (None, "=", "<>"):
-            pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in operand.lower()) + "$"
-            same = F.coalesce(left.rlike(f"(?s){pattern}"), F.lit(False))
-            return ~same if sign == "<>" else same
-    found = {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right, "<>": left != right, "=": left == right, None: left == right}[sign]
-    return F.coalesce(found, F.lit(sign == "<>"))
+    blank = rows.is_blank(column)
+    if not operand:
+        return {"<>": ~blank, "=": blank, None: blank}.get(sign, F.lit(False))
+    number = re.fullmatch(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*", operand)
+    left, right = (F.col(column).try_cast("double"), F.lit(float(operand))) if number else (F.lower(F.col(column).cast("string")), F.lit(operand.lower()))
+    if sign in (None, "=", "<>"):
+        same = F.coalesce(left == right if number else rows.wildcard(column, operand), F.lit(False)) & ~blank
+        return ~same if sign == "<>" else same
+    found = {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[sign]
+    return F.coalesce(found, F.lit(False)) & ~blank
 
 
 def subtotals_by_field(df: DataFrame, fields: list[str], measures: dict[str, Column]) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries over the operators, with their SQL."""
 
-from . import records, tables  # noqa: F401  records registers its queries with those of tables
+from . import delimited, records, tables  # noqa: F401  the others register their queries with those of tables
 
 
 def queries() -> dict:

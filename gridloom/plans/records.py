@@ -55,11 +55,16 @@ def consolidation(s, d):
     return out.select("k", *(F.col(c).cast("double").alias(c) for c in ("sum", "max", "min")), "count", "count_numbers", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("average", "std_dev", "std_dev_p")))
 
 
-@_query("""SELECT o_orderstatus, count(*) FILTER (o_totalprice >= 150000) AS large, count(*) FILTER (o_orderpriority ILIKE '2-%') AS high, count(*) FILTER (o_orderpriority NOT ILIKE '_-low') AS not_low, sum(CASE WHEN o_orderpriority ILIKE '1-urgent' THEN o_totalprice::DECIMAL(18,2) END)::DOUBLE AS urgent FROM orders GROUP BY 1""")
+@_query("""WITH o AS (SELECT *, CASE o_orderkey % 5 WHEN 1 THEN ' ' WHEN 2 THEN '*a?' WHEN 3 THEN 'NaN' WHEN 4 THEN 'x*' END AS marked FROM orders)
+  SELECT o_orderstatus, count(*) FILTER (o_totalprice >= 150000) AS large, count(*) FILTER (o_orderpriority ILIKE '2-%') AS high, count(*) FILTER (o_orderpriority NOT ILIKE '_-low') AS not_low, count(*) FILTER (trim(marked) <> '') AS not_blank, count(*) FILTER (coalesce(trim(marked), '') = '') AS blank,
+  count(*) FILTER (marked = '*a?') AS literal, count(*) FILTER (coalesce(marked, '') NOT LIKE '*%') AS no_star, count(*) FILTER (marked = 'NaN') AS nan, sum(CASE WHEN o_orderpriority ILIKE '1-urgent' THEN o_totalprice::DECIMAL(18,2) END)::DOUBLE AS urgent FROM o GROUP BY 1""")
 def criteria_aggregates(s, d):
     c = records.criterion
-    return _t(s, d, "orders").groupBy("o_orderstatus").agg(
+    kind = F.col("o_orderkey") % 5
+    marked = F.when(kind == 1, " ").when(kind == 2, "*a?").when(kind == 3, "NaN").when(kind == 4, "x*")
+    return _t(s, d, "orders").withColumn("marked", marked).groupBy("o_orderstatus").agg(
         F.count_if(c("o_totalprice", ">=150000")).alias("large"), F.count_if(c("o_orderpriority", "2-*")).alias("high"), F.count_if(c("o_orderpriority", "<>?-low")).alias("not_low"),
+        F.count_if(c("marked", "<>")).alias("not_blank"), F.count_if(c("marked", "=")).alias("blank"), F.count_if(c("marked", "~*?~?")).alias("literal"), F.count_if(c("marked", "<>~**")).alias("no_star"), F.count_if(c("marked", "nan")).alias("nan"),
         F.sum(F.when(c("o_orderpriority", "=1-URGENT"), _money("o_totalprice"))).cast("double").alias("urgent"))
 
 
@@ -123,12 +128,12 @@ def iso_durations(s, d):
     return _t(s, d, "events").select("event_id", scalars.iso_duration(text).alias("seconds"))
 
 
-@_query("""SELECT doc_id, CASE WHEN trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) LIKE '%you must%' THEN 'instruction-directive' ELSE '' END AS signals FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), 'llm|hide this|rank me|system prompt|follow these|highest score|exfiltrate')""")
+_SIGNALS = " || ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{p}{chr(39)})' for p in phrases)} THEN '{name},' ELSE '' END" for name, phrases in scalars.INSTRUCTION_SIGNALS.items())
+
+
+@_query(f"""WITH d AS (SELECT doc_id, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x84\\x86-\\x9F]|\\p{{Cf}}', '', 'g'), '[\\x09-\\x0D\\x85\\p{{Z}}\\p{{P}}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, rtrim({_SIGNALS}, ',') AS signals FROM d""")
 def instruction_signals(s, d):
-    docs = _t(s, d, "documents").where("text is not null")
-    plain = F.regexp_replace(F.lower("text"), r"[^a-z]+", " ")
-    rest = docs.where(~plain.rlike("llm|hide this|rank me|system prompt|follow these|highest score|exfiltrate"))
-    return rest.select("doc_id", F.array_join(scalars.instruction_signals(F.col("text")), ",").alias("signals"))
+    return _t(s, d, "documents").select("doc_id", F.array_join(scalars.instruction_signals(F.col("text")), ",").alias("signals"))
 
 
 @_query("SELECT r_regionkey AS \"R Regionkey\", r_name AS \"R Name\" FROM region")
@@ -178,15 +183,6 @@ def csv_ragged(s, d):
     return csv.read(s, path, header=False, names=["id", "name", "brand"], sep=",")
 
 
-@_query("""SELECT p_partkey AS id, 'bad' AS kind FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_size % 4 <> 0""")
-def csv_errors(s, d):
-    path = f"{_shared(s)}/{uuid.uuid4().hex}"
-    size = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("x"), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string"))
-    _t(s, d, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), size).alias("value")).write.text(path)
-    good, bad = csv.read_with_errors(s, path, "id long, size int", header=False, sep=",")
-    return good.select("id", F.lit("good").alias("kind")).unionByName(bad.select(F.split("record", ",")[0].cast("long").alias("id"), F.lit("bad").alias("kind")))
-
-
 @_query("SELECT event_id, event_type, round(value, 6) AS value FROM events")
 def w3c_log(s, d):
     path = f"{_shared(s)}/{uuid.uuid4().hex}"

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import delimited
+
 DELIMITERS = (",", ";", "\t", "|")
 
 
 def unique_headers(names: list[str | None]) -> list[str]:
-    """Blank names become H1, H2, ... by position; a repeated name gets the next free _n, from 2."""
-    plain = [(n or "").strip() or f"H{i}" for i, n in enumerate(names, 1)]
+    """Blank names become H and their position, or the next number that is free; a repeated name gets the next free _n, from 2."""
+    plain: list[str] = []
+    given = {(n or "").strip() for n in names}
+    for i, n in enumerate(names, 1):
+        name = (n or "").strip()
+        while not name or (not (n or "").strip() and (name in given or name in plain)):
+            name, i = f"H{i}", i + 1
+        plain.append(name)
     taken, used, out = set(plain), set(), []
     for n in plain:
         name, k = n, 2
@@ -23,10 +33,11 @@ def unique_headers(names: list[str | None]) -> list[str]:
 
 
 def detect_delimiter(lines: list[str]) -> str:
-    """The delimiter with the most even, non-zero count over the first lines."""
+    """The delimiter with the most even, non-zero count outside quotes over the first lines."""
+    bare = [re.sub(r'"[^"]*"?', "", x) for x in lines]
 
     def weight(d: str) -> tuple[int, int]:
-        counts = [x.count(d) for x in lines if x.strip()]
+        counts = [b.count(d) for b, x in zip(bare, lines, strict=True) if x.strip()]
         return (0, 0) if not counts or not min(counts) else (sum(c == counts[0] for c in counts), counts[0])
 
     return max(DELIMITERS, key=weight)
@@ -55,22 +66,9 @@ def read(spark: SparkSession, path: str, *, schema: T.StructType | None = None,
     return df
 
 
-def read_with_errors(spark: SparkSession, path: str, schema: str, *, sep: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows that fit the schema, rows that do not: record, message). Every column of the schema must be there and be of its kind."""
-    lines = spark.read.text(path).withColumnRenamed("value", "record")
-    wanted = spark.createDataFrame([], schema).schema
-    if header:
-        first = lines.first()
-        lines = lines.where(F.col("record") != (first["record"] if first else ""))
-    fields = F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(len(wanted) + 1))), {"sep": sep, "escape": '"'})
-    cells = lines.where("trim(record) <> ''").select("record", fields.alias("f"))
-    cast = [F.col(f"f.c{i}").try_cast(f.dataType) for i, f in enumerate(wanted)]
-    message = F.coalesce(
-        F.when(F.col(f"f.c{len(wanted) - 1}").isNull(), "too few fields").when(F.col(f"f.c{len(wanted)}").isNotNull(), "too many fields"),
-        *(F.when(F.col(f"f.c{i}").isNotNull() & c.isNull(), f"{f.name}: no {f.dataType.simpleString()}") for i, (f, c) in enumerate(zip(wanted, cast, strict=True))),
-    )
-    judged = cells.withColumn("message", message)
-    return judged.where("message is null").select(*(c.alias(f.name) for c, f in zip(cast, wanted, strict=True))), judged.where("message is not null").select("record", "message")
+def read_with_errors(spark: SparkSession, path: str, schema: str, *, sep: str = ",", header: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, records that do not: file, record_number, start_line, end_line, record, message). Of every file with a header the first record is left out."""
+    return delimited.rows(delimited.records(spark, path, sep=sep, strict=strict, skip=int(header)), schema)
 
 
 def read_w3c(spark: SparkSession, path: str) -> DataFrame:
