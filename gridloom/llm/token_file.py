@@ -36,11 +36,11 @@ SEGMENT_IDS = 1 << 21
 #: Bytes of text of a range, on average.
 RANGE_BYTES = 48 << 20
 #: Bytes of text that are tokenised at once.
-PIECE = 16 << 20
+PIECE = 4 << 20
 #: Bytes given to the tokenizer as one text.
 JOINED = 1 << 17
 #: Pieces of text whose ids a worker remembers.
-KNOWN = 1_500_000
+KNOWN = 600_000
 #: Ones of the high bits between two stored places.
 SAMPLE = 256
 
