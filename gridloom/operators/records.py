@@ -90,8 +90,9 @@ def criterion(column: str, text: str) -> Column:
     blank = rows.is_blank(column)
     if not operand:
         return {"<>": ~blank, "=": blank, None: blank}.get(sign, F.lit(False))
-    number = re.fullmatch(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*", operand)
-    left, right = (F.col(column).try_cast("double"), F.lit(float(operand))) if number else (F.lower(F.col(column).cast("string")), F.lit(operand.lower()))
+    plain = r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*"
+    number = re.fullmatch(plain, operand)
+    left, right = (F.when(F.col(column).cast("string").rlike(f"^{plain}$"), F.col(column).try_cast("double")), F.lit(float(operand))) if number else (F.lower(F.col(column).cast("string")), F.lit(operand.lower()))
     if sign in (None, "=", "<>"):
         same = F.coalesce(left == right if number else rows.wildcard(column, operand), F.lit(False)) & ~blank
         return ~same if sign == "<>" else same
