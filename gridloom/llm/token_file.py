@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import storage, textbatch
 
 #: Ids of a segment, after which the next one begins.
-SEGMENT_IDS = 1 << 21
+SEGMENT_IDS = 1 << 20
 #: Bytes of text of a range, on average.
 RANGE_BYTES = 48 << 20
 #: Bytes of text that are tokenised at once.
@@ -332,6 +332,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end: int | None = None,
                 if size >= ids:
                     yield pa.record_batch([pa.array([segment(range_, place, names, held, width)], pa.binary())], ["content"])
                     names, held, size, place = [], [], 0, place + 1
+            pa.default_memory_pool().release_unused()
         if names:
             yield pa.record_batch([pa.array([segment(range_, place, names, held, width)], pa.binary())], ["content"])
 
