@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, markdown
+from ..operators import hierarchy, markdown, markup
 from .tables import _query, _t
 
 # Every document's text within Markdown: front matter, headings, code that looks like one, and a table.
@@ -56,3 +56,29 @@ def hierarchical_chunks(s, d):
     docs = _t(s, d, "documents").select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("body"))
     found = hierarchy.chunks(markdown.sections(docs, "doc_id", "body"), "doc_id", most=128, overlap=24, split="\n")
     return found.select("doc_id", "chunk", "first_block", "last_block", "n_overlap", "tokens", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS k, l_quantity::INT AS quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity::INT) AS n, 'order[1]/item[' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity::INT) || ']' AS item FROM lineitem)
+  SELECT o_orderkey AS k, 'order[1]' AS path, 'element' AS type, 'by <' || trim(o_orderpriority) || '>' AS value FROM orders UNION ALL SELECT o_orderkey, 'order[1]/@id', 'attribute', o_orderkey::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'order[1]/@note', 'attribute', 'a > "b" & c' FROM orders
+  UNION ALL SELECT o_orderkey, 'order[1]/status[1]', 'element', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'order[1]/status[2]', 'element', NULL FROM orders
+  UNION ALL SELECT k, item, 'element', NULL FROM l JOIN orders ON k = o_orderkey UNION ALL SELECT k, item || '/@flag', 'attribute', l_returnflag FROM l JOIN orders ON k = o_orderkey UNION ALL SELECT k, item || '/quantity[1]', 'element', quantity::VARCHAR FROM l JOIN orders ON k = o_orderkey""")
+def xml_path_rows(s, d):
+    item = F.concat(F.lit("<item flag='"), "l_returnflag", F.lit("'>\n <quantity><!-- <x> -->"), F.col("l_quantity").cast("int").cast("string"), F.lit("</quantity></item>"))
+    items = _t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").cast("int"), item.alias("x")))), lambda x: x["x"]), "").alias("items"))
+    whole = F.concat(
+        F.lit("<?xml version='1.0'?><!DOCTYPE order>\n<order id=\""), F.col("o_orderkey").cast("string"), F.lit("\" note='a > \"b\" &amp; c'>by <status>"), "o_orderstatus", F.lit("</status><status/><![CDATA[<]]>"),
+        F.trim("o_orderpriority"), F.lit("&#62;"), F.coalesce("items", F.lit("")), F.lit("</order>"))
+    return markup.xml_rows(_t(s, d, "orders").join(items, "o_orderkey", "left").select(F.col("o_orderkey").alias("k"), whole.alias("body")), "k", "body")
+
+
+# An order of steps: hidden parts go, tags become line ends or nothing, characters are decoded, white space is one space, and blank lines go.
+_BLOCK = f"(?i)</?(?:{markup.BLOCKS})(?:[^a-z0-9>][^>]*)?>"
+_LINES = lambda c: f"array_to_string(list_filter(list_transform(string_split(translate(replace(replace(replace(regexp_replace(regexp_replace(replace(replace({c}, chr(10), ' '), chr(13), ' '), '{_BLOCK}', chr(10), 'g'), '<[A-Za-z/!][^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&'), '&nbsp;', ' '), chr(9) || chr(160), '  '), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+@_query(f"""WITH p AS (SELECT page_id, replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|template|noscript)\\b[^>]*>.*?</(?:script|style|template|noscript)\\s*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·') AS html FROM pages),
+  s AS (SELECT page_id, string_split(regexp_replace(html, '(?i)<(h[1-6])([ >])', chr(1) || '<\\1\\2', 'g'), chr(1)) AS s FROM p), x AS (SELECT page_id, i AS section, s[i + 1] AS part FROM (SELECT page_id, s, unnest(range(len(s))) AS i FROM s)),
+  y AS (SELECT page_id, section, CASE WHEN section > 0 THEN part[3:3]::INT END AS level, CASE WHEN section > 0 THEN {_LINES("regexp_extract(part, '(?is)^(.*?)</h[1-6]', 1)")} END AS title, {_LINES("part")} AS text FROM x)
+  SELECT page_id, section::BIGINT AS section, level, title, text FROM y WHERE text <> ''""")
+def html_sections(s, d):
+    return markup.html_sections(_t(s, d, "pages"), "page_id", "html").select("page_id", "section", "level", "title", "text")
