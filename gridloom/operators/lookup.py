@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order: list[str], *, last: bool = False, default: object | None = None, name: str = "found") -> DataFrame:
     """The value of the table's first (or last) row with the key, in the given order; `default` where there is none."""
@@ -25,26 +27,47 @@ def hlookup(df: DataFrame, on: str, table: DataFrame, key: str, row: str, *, nam
 
 
 def nearest(df: DataFrame, on: str, table: DataFrame, table_on: str, value: str, *, by: str, larger: bool = False, name: str = "found") -> DataFrame:
-    """Exact match or the next smaller (larger) one within `by`, as a window over both tables together."""
-    left = df.select(F.struct("*").alias("_row"), F.col(by).alias("_by"), F.col(on).alias("_on"), F.lit(None).cast(table.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
-    right = table.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(by).alias("_by"), F.col(table_on).alias("_on"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    order = [F.col("_on").desc() if larger else F.col("_on").asc(), "_side"]
-    upto = Window.partitionBy("_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("_f", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1").select("_row.*", F.col("_f").alias(name))
-
-
-def compare_cells(left: DataFrame, right: DataFrame, key: str, *, trim: bool = True, ignore_case: bool = True, null_is_empty: bool = True) -> DataFrame:
-    """Differences of two cell tables (key, column, value): key, column, kind, left_value, right_value."""
+    """Exact match or the next smaller (larger) one within `by`; null where `by` or `on` is null, or there is none.
+
+    Both tables are put in ranges of one order, and the last value of a range is
+    carried to the next ones of the same `by`: a `by` of very many rows spans many
+    ranges. Of rows of the table with equal keys the smallest value counts.
+    """
+    one = table.where(F.col(by).isNotNull() & F.col(table_on).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(table_on).alias("_on")).agg(F.min(F.struct(F.col(value).alias("v"))).alias("_v"))
+    row, kind = df.select(F.struct("*").alias("_row")).schema["_row"].dataType, one.schema["_v"].dataType
+    known = F.col(by).isNotNull() & F.col(on).isNotNull()
+    left = df.where(known).select(F.struct("*").alias("_row"), F.col(by).alias("_by"), F.col(on).alias("_on"), F.lit(None).cast(kind).alias("_v"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_tie"))
+    right = one.select(F.lit(None).cast(row).alias("_row"), "_by", "_on", "_v", F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_tie"))
+    order = [F.col("_on").desc() if larger else F.col("_on").asc(), F.col("_side")]
+    both = ranges.ranged(left.unionByName(right), F.col("_by"), *order, F.col("_tie"))
+    within = F.last("_v", ignorenulls=True).over(Window.partitionBy("_p", "_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # the last value of each range, and for each range that of those before it
+    ends = both.groupBy("_by", "_p").agg((F.min_by if larger else F.max_by)("_v", F.when(F.col("_side") == 0, F.col("_on"))).alias("_e"))
+    carried = ends.select("_by", "_p", F.last("_e", ignorenulls=True).over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_c")).where("_c is not null")
+    found = both.withColumn("_f", within).where("_side = 1").join(carried, ["_by", "_p"], "left").select("_row.*", F.coalesce("_f.v", F.when(F.col("_f").isNull(), F.col("_c.v"))).alias(name))
+    return found.unionByName(df.where(~known).withColumn(name, F.lit(None).cast(table.schema[value].dataType)))
+
+
+def compare_rows(left: DataFrame, right: DataFrame, key: str, columns: list[str], *, trim: bool = True, ignore_case: bool = True, null_is_empty: bool = True) -> DataFrame:
+    """Cells in which two tables differ: key, column, kind (MissingFromLeft, MissingFromRight or ValueMismatch), left_value and right_value as text.
+
+    Rows are joined by their key, unique on each side, and only cells that differ become rows.
+    """
 
     def plain(c: Column) -> Column:
         c = F.trim(c) if trim else c
         c = F.upper(c) if ignore_case else c
         return F.coalesce(c, F.lit("")) if null_is_empty else c
 
-    a, b = left.select(key, "column", F.col("value").alias("left_value"), F.lit(True).alias("_l")), right.select(key, "column", F.col("value").alias("right_value"), F.lit(True).alias("_r"))
-    both = a.join(b, [key, "column"], "full_outer")
-    kind = F.when(F.col("_l").isNull(), "MissingFromLeft").when(F.col("_r").isNull(), "MissingFromRight").when(~plain(F.col("left_value")).eqNullSafe(plain(F.col("right_value"))), "ValueMismatch")
-    return both.withColumn("kind", kind).where("kind is not null").select(key, "column", "kind", "left_value", "right_value")
+    side = lambda df, n: df.select(F.col(key).alias("_k"), F.struct(*(F.col(c).cast("string").alias(c) for c in columns)).alias(n))
+    both = side(left, "l").join(side(right, "r"), "_k", "full_outer")
+
+    def cell(c: str) -> Column:
+        a, b = F.col(f"l.`{c}`"), F.col(f"r.`{c}`")
+        kind = F.when(F.col("l").isNull(), "MissingFromLeft").when(F.col("r").isNull(), "MissingFromRight").when(~plain(a).eqNullSafe(plain(b)), "ValueMismatch")
+        return F.when(kind.isNotNull(), F.struct(F.lit(c).alias("column"), kind.alias("kind"), a.alias("left_value"), b.alias("right_value")))
+
+    return both.select(F.col("_k").alias(key), F.explode(F.array_compact(F.array(*map(cell, columns)))).alias("x")).select(key, "x.*")
 
 
 def three_way(base: DataFrame, source: DataFrame, remote: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 #: The pivot functions over a column.
 FUNCTIONS = {
     "sum": F.sum, "count": F.count, "average": F.avg, "max": F.max, "min": F.min, "product": F.product, "count_numbers": lambda c: F.count(F.col(c).try_cast("double") if isinstance(c, str) else c.try_cast("double")),
@@ -41,14 +43,50 @@ def number_range(column: str, start: float, interval: float) -> Column:
 
 
 def show_as(df: DataFrame, row: str, column: str, value: str, base: object) -> DataFrame:
-    """All show-as calculations of a cell table; `base` is the base item of `column`."""
-    all_, by_row, by_column = Window.partitionBy(), Window.partitionBy(row), Window.partitionBy(column)
+    """All show-as calculations of a cell table; `base` is the base item of `column`.
+
+    A row's cells, one for each item of the column, share a window; totals of
+    columns and of all cells are aggregates, joined back.
+    """
+    by_row = Window.partitionBy(row)
     x, of_base = F.col(value), F.max(F.when(F.col(column) == F.lit(base), F.col(value))).over(by_row)
-    total_row, total_column, grand = F.sum(value).over(by_row), F.sum(value).over(by_column), F.sum(value).over(all_)
+    totals = df.groupBy(F.col(column).alias("_c")).agg(F.sum(value).alias("_column"))
+    grand, total_row, total_column = df.agg(F.sum(value)).scalar(), F.sum(value).over(by_row), F.col("_column")
     running = F.sum(value).over(Window.partitionBy(row).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return df.select(row, column, value,
+    joined = df.join(totals, F.col(column).eqNullSafe(F.col("_c"))).withColumn("_grand", grand)
+    return joined.select(row, column, value,
         (x - of_base).alias("difference_from"), F.round(x / of_base, 6).alias("percent_of"), F.round((x - of_base) / of_base, 6).alias("percent_difference_from"), running.alias("running_total"),
-        F.round(x / total_row, 6).alias("percent_of_row"), F.round(x / total_column, 6).alias("percent_of_column"), F.round(x / grand, 6).alias("percent_of_grand_total"), F.round((x * grand) / (total_row.cast("double") * total_column), 6).alias("index"))
+        F.round(x / total_row, 6).alias("percent_of_row"), F.round(x / total_column, 6).alias("percent_of_column"), F.round(x / F.col("_grand"), 6).alias("percent_of_grand_total"), F.round((x * F.col("_grand")) / (total_row.cast("double") * total_column), 6).alias("index"))
+
+
+def run_subtotals(df: DataFrame, group: str, order: str, values: dict[str, Column], *, label: str = "Total", total: str | None = "Grand Total") -> DataFrame:
+    """Subtotals of a sheet: for each run of equal values of `group` along `order`, which is unique, its label, aggregates, and first and last place; then the grand total.
+
+    run_id counts from 1, and is null for the grand total; a blank group is (blank).
+    Runs are found within ranges of the order; whether a range goes on with the
+    run of the one before is told by one row for each range.
+    """
+    table = ranges.ranged(df, F.col(order).asc_nulls_first())
+    w = Window.partitionBy("_p").orderBy(F.col(order).asc_nulls_first())
+    own = F.struct(F.col(group).alias("v"))
+    begins = (~own.eqNullSafe(F.lag(own).over(w)) & (F.row_number().over(w) > 1)).cast("long")
+    counted = table.withColumn("_b", F.sum(begins).over(w))
+    at = F.struct(F.col(order).isNotNull(), F.col(order))
+    ends = ranges.per_range(counted, F.min_by(own, at).alias("first"), F.max_by(own, at).alias("last"), F.max("_b").alias("more"))
+    offsets, run, before = [], 0, None
+    for e in ends:
+        run += before is None or before != e["first"]
+        offsets.append((e["_p"], run))
+        run, before = run + e["more"], e["last"]
+    started = df.sparkSession.createDataFrame(offsets, "_p int, _run long")
+    numbered = counted.join(started, "_p").withColumn("run_id", F.col("_run") + F.col("_b"))
+    name = F.concat(F.coalesce(F.when(F.trim(F.col(group).cast("string")) != "", F.col(group).cast("string")), F.lit("(blank)")), F.lit(f" {label}"))
+    places = [F.min(order).alias("first"), F.max(order).alias("last")]
+    out = numbered.groupBy("run_id").agg(F.first(name).alias("label"), *(v.alias(n) for n, v in values.items()), *places)
+    if total is None:
+        return out
+    whole = df.agg(F.lit(None).cast("long").alias("run_id"), F.lit(total).alias("label"), *(v.alias(n) for n, v in values.items()), *places)
+    return out.unionByName(whole)
 
 
 def first_of_field(df: DataFrame, field: str, keys: list[tuple[str, bool]], n: int) -> DataFrame:

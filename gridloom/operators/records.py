@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import rows
+from . import ranges, rows
 
 
 def _signature(df: DataFrame, keys: list[tuple[str, bool]], query: str) -> str:
@@ -148,17 +148,19 @@ def find_text(df: DataFrame, key: str, columns: list[str], text: str) -> DataFra
 
 
 def split_by_size(df: DataFrame, order: str, size: Column, most: int, overhead: int = 0) -> DataFrame:
-    """A part number for each row: sizes with overhead are added up along the order in ranges, and a part ends with each `most` of the sum.
+    """A part number for each row: sizes with overhead are added up along the order (nulls first), and a part ends with each `most` of the sum.
 
-    The sum runs within ranges of the order first, whose totals are then added, so that no task holds all rows. `order` is unique.
+    The sum runs within ranges of the order, to which the totals of those before are added; a null size counts as 1 MiB.
     """
-    sized = df.withColumn("_size", (F.coalesce(size, F.lit(1 << 20)) + overhead).cast("long")).repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id())
-    totals = sized.groupBy("_range").agg(F.sum("_size").alias("_total"), F.min(order).alias("_from"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_from", before.alias("_before"), F.lead("_from").over(Window.orderBy("_from")).alias("_to"))
-    ranged = df.withColumn("_size", (F.coalesce(size, F.lit(1 << 20)) + overhead).cast("long")).join(F.broadcast(starts), (F.col(order) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(order) < F.col("_to"))))
-    upto = F.sum("_size").over(Window.partitionBy("_from").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.withColumn("part", F.floor((F.col("_before") + F.coalesce(upto, F.lit(0))) / most).cast("long")).drop("_size", "_from", "_to", "_before")
+    keys = [F.col(order).asc_nulls_first(), "_tie"]
+    sized = df.withColumns({"_size": (F.coalesce(size, F.lit(1 << 20)) + overhead).cast("long"), "_tie": F.monotonically_increasing_id()})
+    table, before, starts = ranges.ranged(sized, *keys), 0, []
+    for r in ranges.per_range(table, F.sum("_size").alias("total")):
+        starts.append((r["_p"], before))
+        before += r["total"]
+    joined = table.join(df.sparkSession.createDataFrame(starts, "_p int, _before long"), "_p")
+    upto = F.sum("_size").over(Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn("part", F.floor((F.col("_before") + F.coalesce(upto, F.lit(0))) / most).cast("long")).drop("_size", "_tie", "_p", "_before")
 
 
 def json_rows(df: DataFrame, key: str, column: str, depth: int = 8) -> DataFrame:

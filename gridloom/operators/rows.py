@@ -131,6 +131,17 @@ def sort_key(column: str, descending: bool = False, nulls_last: bool | None = No
     return (c.desc_nulls_last() if last else c.desc_nulls_first()) if descending else (c.asc_nulls_last() if last else c.asc_nulls_first())
 
 
+def sort_cells(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Sort by a column of cells as text: as numbers where all cells are, as dates where all are, else as text in any case. Empty cells are nulls, which are least; a column that is not there changes nothing."""
+    if column not in df.columns:
+        return df
+    cell = F.nullif(F.trim(F.col(column).cast("string")), F.lit(""))
+    number = F.when(cell.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), cell.try_cast("double"))
+    kinds = df.agg(F.count(cell).alias("all"), F.count(number).alias("numbers"), F.count(cell.try_cast("timestamp")).alias("dates")).first()
+    key = number if kinds["numbers"] == kinds["all"] else cell.try_cast("timestamp") if kinds["dates"] == kinds["all"] else F.upper(cell)
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first())
+
+
 def sort_by(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
     """Sort by (column, descending); unknown columns are left out."""
     known = [(c, d) for c, d in keys if c in df.columns]

@@ -126,6 +126,14 @@ def xlookup_nearest(s, d):
     return lookup.nearest(other, "ts", bought, "ts", "value", by="user_id", name="last_purchase").select("event_id", "last_purchase")
 
 
+@_query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL), v AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase')
+  SELECT event_id, value AS next_purchase FROM v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts <= p.ts""")
+def xlookup_next_larger(s, d):
+    events = _t(s, d, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return lookup.nearest(events.where("event_type <> 'purchase'"), "ts", bought, "ts", "value", by="user_id", larger=True, name="next_purchase").select("event_id", "next_purchase")
+
+
 
 @_query("""WITH l AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer WHERE c_custkey % 7 <> 0), r AS (SELECT c_custkey AS k, lower(c_name) AS n, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS m FROM customer WHERE c_custkey % 11 <> 0),
   a AS (SELECT k, 'n' AS "column", n AS value FROM l UNION ALL SELECT k, 'm', m FROM l), b AS (SELECT k, 'n' AS "column", n AS value FROM r UNION ALL SELECT k, 'm', m FROM r)
@@ -133,9 +141,8 @@ def xlookup_nearest(s, d):
   a.value AS left_value, b.value AS right_value FROM a FULL JOIN b ON a.k = b.k AND a."column" = b."column") WHERE kind IS NOT NULL""")
 def range_compare(s, d):
     c = _t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("m"))
-    left = rows.unpivot_cells(c.where("k % 7 <> 0"), "k", ["n", "m"])
-    right = rows.unpivot_cells(c.where("k % 11 <> 0").select("k", F.lower("n").alias("n"), F.when(F.expr("k % 5 = 0"), "X").otherwise(F.col("m")).alias("m")), "k", ["n", "m"])
-    return lookup.compare_cells(left, right, "k")
+    right = c.where("k % 11 <> 0").select("k", F.lower("n").alias("n"), F.when(F.expr("k % 5 = 0"), "X").otherwise(F.col("m")).alias("m"))
+    return lookup.compare_rows(c.where("k % 7 <> 0"), right, "k", ["n", "m"])
 
 
 @_query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'S' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0),
@@ -204,6 +211,12 @@ def subtotal_runs(s, d):
     return out.groupBy("l_orderkey", "run_id", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+@_query("""WITH f AS (SELECT *, (o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w OR row_number() OVER w = 1)::INT AS b FROM orders WINDOW w AS (ORDER BY o_orderkey)), r AS (SELECT *, sum(b) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id FROM f)
+  SELECT run_id, o_orderstatus || ' Total' AS label, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS price, max(o_custkey) AS largest, min(o_orderkey) AS first, max(o_orderkey) AS last FROM r GROUP BY 1, 2 UNION ALL SELECT NULL, 'Grand Total', count(*), sum(o_totalprice::DECIMAL(18,2))::DOUBLE, max(o_custkey), min(o_orderkey), max(o_orderkey) FROM orders""")
+def subtotals_of_runs(s, d):
+    return pivot.run_subtotals(_t(s, d, "orders"), "o_orderstatus", "o_orderkey", {"n": F.count("*"), "price": F.sum(_money("o_totalprice")).cast("double"), "largest": F.max("o_custkey")})
+
+
 @_query("""SELECT 'customer' AS sheet, c_nationkey AS nationkey, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_name, NULL FROM supplier""")
 def merge_by_header(s, d):
     a = _t(s, d, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
