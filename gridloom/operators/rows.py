@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,33 @@ def map_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*((F.col(f"`{found[n]}`").cast("string").try_cast(kind) if found[n] else F.lit(None).cast(kind)).alias(n) for n, kind in wanted.items()))
 
 
+def map_explicit(df: DataFrame, mapping: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns (target: (source, type)) by the sources' exact names, or else their names in any case. A source that is not there, or that several columns could be, is rejected; so is text that does not fit its type, when it is read."""
+    out, placed = [], df.toDF(*(f"_{k}" for k in range(len(df.columns))))  # by place, as names may differ in case alone
+    for target, (source, kind) in mapping.items():
+        found = [c for c in df.columns if c == source] or [c for c in df.columns if c.lower() == source.lower()]
+        if not found:
+            raise ValueError(f"no column {source}; there are {', '.join(df.columns)}")
+        if len(found) > 1:
+            raise ValueError(f"column {source} is ambiguous: {', '.join(found)}")
+        c = F.col(f"_{df.columns.index(found[0])}")
+        fits = F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast(kind) if kind != "string" else c.cast("string")
+        bad = F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)) & fits.isNull()
+        out.append(F.when(bad, F.raise_error(F.concat(F.lit(f"{target}: no {kind}: "), c.cast("string"))).cast(kind)).otherwise(fits).alias(target))
+    return placed.select(*out)
+
+
+def convert(df: DataFrame, key: str, converters: dict[str, tuple[str, Callable[[Column], Column]]], *, defaults: dict[str, object] | None = None, redact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with converted columns; failures: key, column, kind, value). A converter (kind, function) fails where it makes null of a value that is not blank; such rows are among the failures only. Blank values take their default, or null. redact: failures tell no values."""
+    made = {n: f(F.col(n)).cast(kind) for n, (kind, f) in converters.items()}
+    lacks = {n: is_blank(n) for n in converters}
+    failed = F.array_compact(F.array(*(F.when(~lacks[n] & made[n].isNull(), F.struct(F.lit(n).alias("column"), F.lit(converters[n][0]).alias("kind"), (F.lit("(redacted)") if redact else F.col(n).cast("string")).alias("value"))) for n in converters)))
+    judged = df.withColumn("_failed", failed)
+    filled = {n: F.when(lacks[n], F.lit((defaults or {}).get(n)).cast(converters[n][0])).otherwise(made[n]) for n in converters}
+    bad = judged.where(F.size("_failed") > 0).select(key, F.explode("_failed").alias("x")).select(key, "x.*")
+    return judged.where(F.size("_failed") == 0).drop("_failed").withColumns(filled), bad
+
+
 def change_columns(df: DataFrame, renames: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
     """Columns renamed and dropped; a name that would stand twice, in any case, is rejected."""
     names = [renames.get(c, c) for c in df.columns if c not in drop]
