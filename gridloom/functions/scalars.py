@@ -93,3 +93,29 @@ def header_case(name: str, style: str = "title") -> str:
 
     words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)
     return {"raw": name, "pascal": "".join(w[:1].upper() + w[1:] for w in words), "title": " ".join(w[:1].upper() + w[1:] for w in words)}[style]
+
+
+# Kinds of mail folders by their names. Fixed values.
+FOLDERS = {
+    "Inbox": ["Inbox"], "Outbox": ["Outbox"], "SentItems": ["Sent", "Sent Items", "Sent Messages"], "DeletedItems": ["Deleted Items", "Trash", "Deleted Messages"], "Drafts": ["Drafts", "Draft"], "Calendar": ["Calendar"], "Contacts": ["Contacts"], "Tasks": ["Tasks"], "Notes": ["Notes"], "Journal": ["Journal"],
+    "JunkEmail": ["Junk", "Junk E-mail", "Spam"], "Archive": ["Archive"], "SyncIssues": ["Sync Issues"], "Conflicts": ["Conflicts"], "LocalFailures": ["Local Failures"], "ServerFailures": ["Server Failures"], "RssFeeds": ["RSS Feeds"], "Reminders": ["Reminders"], "ToDo": ["To-Do", "To Do"],
+}
+
+
+def folder_kind(name: Column) -> Column:
+    """The kind of a mail folder by its name, in any case; Unknown for any other."""
+    kinds = F.create_map(*(F.lit(x) for kind, names in FOLDERS.items() for n in names for x in (n.lower(), kind)))
+    return F.coalesce(F.try_element_at(kinds, F.lower(F.trim(name))), F.lit("Unknown"))
+
+
+def recurrence(text: Column) -> Column:
+    """The parts of a rule such as FREQ=WEEKLY;INTERVAL=2 as a map with names in upper case, the first of a name; null where a part is malformed or FREQ is missing."""
+    parts = F.transform(F.split(text, ";"), lambda p: F.struct(F.upper(F.trim(F.regexp_extract(p, "^([^=]+)=", 1))).alias("k"), F.regexp_extract(p, "^[^=]+=(.+)$", 1).alias("v")))
+    first = F.aggregate(parts, F.array().cast("array<struct<k:string,v:string>>"), lambda s, x: F.when(F.exists(s, lambda y: y["k"] == x["k"]), s).otherwise(F.concat(s, F.array(x))))
+    fine = F.forall(parts, lambda p: p["k"].rlike("^[A-Z0-9-]+$") & (p["v"] != "")) & F.exists(parts, lambda p: (p["k"] == "FREQ") & (F.trim(p["v"]) != ""))
+    return F.when(fine, F.map_from_entries(first))
+
+
+def joined(items: Column, separator: str = ", ") -> Column:
+    """The items of a collection as one text; null items are left out."""
+    return F.array_join(F.transform(items, lambda x: x.cast("string")), separator)
