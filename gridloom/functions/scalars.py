@@ -75,13 +75,38 @@ def instruction_signals(text: Column, rules: dict[str, list[str]] = INSTRUCTION_
 
 
 def iso_duration(text: Column) -> Column:
-    """Seconds of a duration such as P2W, -P1DT2H or PT5M30S; null where it is none."""
-    pattern = r"^([+-]?)P(?=.)(?:(\d+)W|(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?)$"
-    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("long"), F.lit(0))
-    seconds = part(2) * 604800 + part(3) * 86400 + part(4) * 3600 + part(5) * 60 + part(6)
+    """Seconds of a duration such as P2W, -P1DT2H, P1Y2M or PT5M30.5S, with years of 365 and months of 30 days; null where it is none. Whole seconds unless there is a fraction, which is cut at microseconds."""
+    pattern = r"^([+-]?)P(?=.)(?:(\d+)W|(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d+))?S)?)?)$"
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)"))
+    days = part(2) * 7 + part(3) * 365 + part(4) * 30 + part(5)
+    fraction = F.concat(F.lit("0."), F.rpad(F.left(F.regexp_extract(text, pattern, 9), F.lit(6)), 6, "0")).cast("decimal(7,6)")
+    seconds = (days * 86400 + part(6) * 3600 + part(7) * 60 + part(8) + fraction).cast("double")
     return F.when(text.rlike(pattern), F.when(F.regexp_extract(text, pattern, 1) == "-", -seconds).otherwise(seconds))
 
 
+def allowed_url(url: Column, *, schemes: tuple[str, ...] = ("http", "https", "mailto"), relative: bool = True, data: tuple[str, ...] = (), hosts: tuple[str, ...] | None = None) -> Column:
+    """Whether a policy lets an address through: by scheme, relative or not, data of media types (image/ for all of them), and hosts with what is below them. Scripts never pass, however they are spelled."""
+    plain = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\u200B-\u200F\u2060\uFEFF]+", ""))
+    kind, scheme = url_kind(plain), F.regexp_extract(plain, r"^([a-z][a-z0-9+.-]*):", 1)
+    media = F.lit(False)
+    for m in data:
+        media = media | F.startswith(plain, F.lit(f"data:{m.lower()}"))
+    host = F.regexp_extract(plain, r"^(?:[a-z][a-z0-9+.-]*:)?[/\\\\]{2}(?:[^/?#@]*@)?([^/?#:\\\\]*)", 1)
+    near = F.lit(True)
+    if hosts is not None:
+        near = F.lit(False)
+        for h in hosts:
+            near = near | (host == h.lower()) | F.endswith(host, F.lit("." + h.lower()))
+    # two slashes without a scheme name a host, too
+    bare = F.when(plain.rlike(r"^[/\\\\]{2}"), near & F.lit(relative)).otherwise(F.lit(relative))
+    return F.when(kind.isin("script", "empty"), False).when(kind == "relative", bare).when(kind == "data", media).otherwise(scheme.isin(list(schemes)) & (near | (kind == "mailto")))
+
+
+def number_text(number: Column) -> Column:
+    """A number as text that reads back as the same: whole ones without a point, up to 15 digits; others in the shortest form."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("decimal(16,0)").cast("string")).otherwise(number.cast("string"))
+
+
 def truncate(text: Column, most: int) -> Column:
     """At most so many letters, the last of them an ellipsis where something was cut."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)

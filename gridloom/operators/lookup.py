@@ -86,3 +86,51 @@ def resolve(df: DataFrame, identity: str, entries: DataFrame, entry_identity: st
     joined = df.join(one, plain(identity) == F.col("_i"), "left")
     n = F.coalesce("n_entries", F.lit(0).cast("long"))
     return joined.withColumn("n_entries", n).withColumn("status", F.when(F.col("n_entries") == 1, "Resolved").when(F.col("n_entries") > 1, "Ambiguous").otherwise("NotFound")).withColumn("entry", F.when(F.col("n_entries") == 1, F.col("_e"))).drop("_i", "_e")
+
+
+def resolve_by_sources(df: DataFrame, identity: str, entries: DataFrame, entry: str, sources: list[str], *, most: int = 32, complete: bool = True) -> DataFrame:
+    """Identities by the first of several sources (columns of entries, texts or arrays of them) in which one is found: adds status, source, n_entries, entry and candidates (the `most` smallest).
+
+    Resolved: that source has exactly one entry. Ambiguous: it has several; none is
+    guessed, nor is a later source asked. NotFound: no source has it; Incomplete in its
+    place if `complete` is false, as the entries are not all there. Identities
+    meet ignoring case and outer spaces.
+    """
+    plain = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
+    kinds = dict(entries.dtypes)
+
+    def of(rank: int, c: str) -> Column:
+        one = lambda x: F.struct(F.lit(rank).alias("rank"), plain(x).alias("i"))
+        return F.transform(F.col(c), one) if kinds[c].startswith("array") else F.array(one(F.col(c)))
+
+    names = [of(k, c) for k, c in enumerate(sources)]
+    none = F.array().cast("array<struct<rank:int,i:string>>")
+    each = entries.select(F.col(entry).alias("_e"), F.explode(F.flatten(F.array(*(F.coalesce(n, none) for n in names)))).alias("x")).select("_e", "x.*").where("i is not null").distinct()
+    counted = each.groupBy("i", "rank").agg(F.count("*").alias("n"), F.min("_e").alias("least"))
+    first = counted.groupBy("i").agg(F.min(F.struct("rank", "n", "least")).alias("f"))
+    # of very common names no more than `most` entries are kept for each
+    ranked = each.join(first.select("i", F.col("f.rank").alias("rank")), ["i", "rank"]).withColumn("_n", F.row_number().over(Window.partitionBy("i").orderBy("_e"))).where(F.col("_n") <= most)
+    listed = ranked.groupBy("i").agg(F.array_sort(F.collect_list("_e")).alias("candidates"))
+    joined = df.join(first.join(listed, "i"), plain(F.col(identity)) == F.col("i"), "left")
+    status = F.when(F.col("f").isNull(), "NotFound" if complete else "Incomplete").when(F.col("f.n") == 1, "Resolved").otherwise("Ambiguous")
+    source = F.get(F.array(*map(F.lit, sources)), F.col("f.rank"))
+    return joined.select(*df.columns, status.alias("status"), source.alias("source"), F.coalesce("f.n", F.lit(0)).alias("n_entries"), F.when(F.col("f.n") == 1, F.col("f.least")).alias("entry"), F.coalesce("candidates", F.array().cast(f"array<{kinds[entry]}>")).alias("candidates"))
+
+
+def sync_plan(base: DataFrame, source: DataFrame, remote: DataFrame, key: str, value: str, revision: str) -> DataFrame:
+    """Actions by key: create, update or delete on the remote, or on the source, none, or conflict; with the revision that the remote must have for it.
+
+    base has the value and the remote's revision at the last sync, remote its
+    present value and revision. A remote row changed if its revision did. Both sides
+    changed is a conflict, unless they agree.
+    """
+    side = lambda t, n, *more: t.select(key, F.struct(F.col(value).alias("v"), *(F.col(m).alias("r") for m in more)).alias(n))
+    joined = side(base, "b", revision).join(side(source, "s"), key, "full_outer").join(side(remote, "r", revision), key, "full_outer")
+    b, s, r = (F.col(n) for n in "bsr")
+    moved_s = s.isNull() != b.isNull()
+    moved_s = moved_s | (s.isNotNull() & b.isNotNull() & ~s["v"].eqNullSafe(b["v"]))
+    moved_r = (r.isNull() != b.isNull()) | (r.isNotNull() & b.isNotNull() & ~r["r"].eqNullSafe(b["r"]))
+    agree = (s.isNull() & r.isNull()) | (s.isNotNull() & r.isNotNull() & s["v"].eqNullSafe(r["v"]))
+    to = lambda mine, other, name: F.when(mine.isNull(), f"delete_{name}").when(other.isNull(), f"create_{name}").otherwise(f"update_{name}")
+    action = F.when(agree | (~moved_s & ~moved_r), "none").when(moved_s & moved_r, "conflict").when(moved_s, to(s, r, "remote")).otherwise(to(r, s, "source"))
+    return joined.select(key, action.alias("action"), F.when(F.endswith(action, F.lit("_remote")), F.col("b.r")).alias("expected_revision"))

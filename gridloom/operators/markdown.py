@@ -151,3 +151,34 @@ def tables(df: DataFrame, key: str, text: str, *, headerless: bool = False) -> D
         bare = found.where("_at is null").where(bounded & F.forall("x", lambda r: F.size(r["c"]) == width))
         out = out.unionByName(bare.select(key, *table(F.lit(0), numbered, 0)))
     return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("start_line")) - 1).cast("long").alias("table"), "start_line", "end_line", "columns", "rows")
+
+
+def rewrite(df: DataFrame, key: str, text: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Texts after rules (id, pattern, replacement) on each line outside code and front matter, one rule after another: key, text, and changes, a map of the lines that each rule has changed. Line ends become line feeds."""
+    if len({r[0] for r in rules}) < len(rules):
+        raise ValueError("rules need unique ids")
+    out = lines(df, key, text).withColumn("_on", ~F.col("code") & ~F.col("front"))
+    for k, (_, pattern, replacement) in enumerate(rules):
+        new = F.when(F.col("_on"), F.regexp_replace("text", pattern, replacement)).otherwise(F.col("text"))
+        out = out.withColumn("_new", new).withColumn(f"_c{k}", F.col("_new") != F.col("text")).withColumn("text", F.col("_new"))
+    own = F.array_sort(F.collect_list(F.struct("line", "text")))
+    counted = [x for k, (name, _, _) in enumerate(rules) for x in (F.lit(name), F.count_if(f"_c{k}"))]
+    changes = F.create_map(*counted) if counted else F.create_map().cast("map<string,bigint>")
+    return out.groupBy(key).agg(F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"), changes.alias("changes"))
+
+
+def structured(df: DataFrame, key: str, text: str, *, most_sections: int = 1000, most_chars: int = 1_000_000) -> DataFrame:
+    """Documents as JSON: key and document, an object of front matter, sections (id section-0000, ..., level, title, path, lines, text), tables (columns, rows, lines) and truncated. Sections beyond `most_sections` are left out, and texts cut where all of a document's together reach `most_chars`."""
+    parts = sections(df, key, text)
+    w = Window.partitionBy(key).orderBy("section")
+    before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumns({"_n": F.row_number().over(w) - 1, "_left": F.greatest(F.lit(0), most_chars - before)})
+    cut = placed.withColumns({"_cut": (F.col("_n") >= most_sections) | (F.length("text") > F.col("_left")), "text": F.left("text", F.col("_left").cast("int"))})
+    one = F.struct(F.format_string("section-%04d", "_n").alias("id"), "level", "title", "path", "start_line", "end_line", "text")
+    listed = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_n") < most_sections, F.struct("_n", one.alias("s"))))).alias("_s"), F.max("_cut").alias("truncated"))
+    found = tables(df, key, text).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("table", "start_line", "end_line", "columns", "rows"))).alias("_t"))
+    heads = df.select(F.col(key).alias("_h"), front_matter(F.col(text)).alias("front_matter"))
+    joined = heads.join(listed, F.col("_h") == F.col(key), "left").join(found, F.col("_h") == F.col("_k"), "left")
+    none = F.array().cast(found.schema["_t"].dataType)
+    body = F.struct("front_matter", F.coalesce(F.transform("_s", lambda x: x["s"]), F.array().cast(listed.select(F.transform("_s", lambda x: x["s"]).alias("s")).schema["s"].dataType)).alias("sections"), F.coalesce("_t", none).alias("tables"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return joined.select(F.col("_h").alias(key), F.to_json(body).alias("document"))

@@ -106,3 +106,28 @@ def html_sections(df: DataFrame, key: str, html: str) -> DataFrame:
     last = {f"_{k}": F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(v) for k in range(1, 7)}
     path = F.array_compact(F.array(*(F.when(F.col(f"_{k}.level") == k, F.col(f"_{k}.title")) for k in range(1, 7))))
     return found.withColumns(last).withColumn("path", path).drop(*last).where("text <> ''")
+
+
+# The kinds of nodes by their tags. Fixed values.
+NODES = {
+    **{f"h{k}": "heading" for k in range(1, 7)}, "p": "paragraph", "ul": "list", "ol": "list", "li": "item", "a": "link", "img": "image", "table": "table", "tr": "row", "td": "cell", "th": "cell", "form": "form", "input": "field", "select": "field", "textarea": "field", "button": "field", "blockquote": "quote", "pre": "code",
+}
+
+
+def html_nodes(df: DataFrame, key: str, html: str) -> DataFrame:
+    """Logical nodes of HTML texts: key, node (from 0), kind, tag, depth (of the lists around it), ordinal (of an item in its list) and target (href, src, action or name). Scripts, styles and comments have none."""
+    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<!--.*?-->|<(script|style|template|noscript)\b[^>]*+>.*?(?:</\1\s*>|\z)", " ")
+    each = df.select(F.col(key).alias(key), F.posexplode(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))).alias("pos", "token")).where(F.col("token").rlike("^</?[A-Za-z]"))
+    kinds = F.create_map(*(F.lit(x) for pair in NODES.items() for x in pair))
+    tagged = each.withColumns({"tag": F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), "ends": F.startswith("token", F.lit("</"))}).withColumn("kind", F.try_element_at(kinds, F.col("tag"))).where("kind is not null")
+    w = Window.partitionBy(key).orderBy("pos")
+    is_list = F.col("kind") == "list"
+    depth = F.sum(F.when(is_list, F.when(F.col("ends"), -1).otherwise(1)).otherwise(0)).over(w)
+    levelled = tagged.withColumn("depth", F.greatest(F.lit(0), depth)).where("not ends")
+    # an item counts since the list that was opened last at its depth
+    at = Window.partitionBy(key, "depth").orderBy("pos")
+    begun = F.count_if(is_list).over(at)
+    listed = levelled.withColumn("_l", begun)
+    number = F.count_if(F.col("kind") == "item").over(Window.partitionBy(key, "depth", "_l").orderBy("pos"))
+    target = F.nullif(characters(F.regexp_replace(F.regexp_extract("token", r"""(?i)\s(?:href|src|action|name)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), "^[\"']|[\"']$", ""), NAMED_HTML), F.lit(""))
+    return listed.select(key, (F.row_number().over(w) - 1).cast("long").alias("node"), "kind", "tag", F.col("depth").cast("int").alias("depth"), F.when(F.col("kind") == "item", number).alias("ordinal"), target.alias("target"))

@@ -93,3 +93,47 @@ def first_of_field(df: DataFrame, field: str, keys: list[tuple[str, bool]], n: i
     """The first n rows of each item of a field, by (column, descending) keys."""
     order = Window.partitionBy(field).orderBy(*(F.col(c).desc() if d else F.col(c).asc() for c, d in keys))
     return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def number_groups(df: DataFrame, column: str, interval: float, *, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Adds lower and label of the range of `interval` that a number falls in, from `start` to `end`; without them, from the least and to the largest number.
+
+    A number below start is in `<start`, one beyond end in `>end`, no number in
+    (blank). The last range ends at `end`, which is within it.
+    """
+    if interval <= 0:
+        raise ValueError("interval: more than 0")
+    x = F.col(column).cast("double")
+    edges = df.agg(F.min(x).alias("least"), F.max(x).alias("most")).first()
+    low = start if start is not None else edges["least"]
+    high = end if end is not None else edges["most"]
+    if low is None or high is None:
+        return df.withColumns({"lower": F.lit(None).cast("double"), "label": F.lit("(blank)")})
+    if high < low:
+        raise ValueError("end: not before start")
+    last = max(0, -int(-(high - low) // interval) - 1)  # ranges that begin before the end, less one
+    step = F.least(F.floor((x - low) / interval), F.lit(last))
+    lower, upper = step * interval + low, F.least((step + 1) * interval + low, F.lit(float(high)))
+    number = lambda c: F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    label = F.when(x.isNull(), "(blank)").when(x < low, F.concat(F.lit("<"), number(F.lit(float(low))))).when(x > high, F.concat(F.lit(">"), number(F.lit(float(high))))).otherwise(F.concat(number(lower), F.lit("-"), number(upper)))
+    return df.withColumns({"lower": F.when((x >= low) & (x <= high), lower), "label": label})
+
+
+def field_filter(df: DataFrame, field: str, *, hidden: list | None = None, visible: list | None = None, label: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows whose item of a field is shown: not hidden, among the visible ones if any are named, and meeting a label filter (operator, value, value) of rows.compare; blank is the item None."""
+    from . import rows
+
+    item = F.col(field)
+    named = lambda items: F.coalesce(item.isin([i for i in items if i is not None]), F.lit(False)) | (item.isNull() if None in items else F.lit(False))
+    out = df
+    if hidden:
+        out = out.where(~named(hidden))
+    if visible is not None:
+        out = out.where(named(visible))
+    return out.where(rows.compare(field, *label)) if label else out
+
+
+def manual_order(df: DataFrame, field: str, items: list, *more: str) -> DataFrame:
+    """Rows in a given order of a field's items; other items come behind, ascending, then blanks; then by further columns."""
+    at = F.coalesce(*(F.when(F.col(field).eqNullSafe(F.lit(i)), F.lit(k)) for k, i in enumerate(items)), F.lit(len(items))) if items else F.lit(0)
+    return df.orderBy(at, F.col(field).asc_nulls_last(), *more)

@@ -186,3 +186,33 @@ def json_rows(df: DataFrame, key: str, column: str, depth: int = 8) -> DataFrame
 def reminder_state(active: Column, signal: Column, as_of: Column) -> Column:
     """Disabled, ActiveWithoutSignalTime, Overdue (the signal time is reached) or Pending."""
     return F.when(~F.coalesce(active, F.lit(False)), "Disabled").when(signal.isNull(), "ActiveWithoutSignalTime").when(signal <= as_of, "Overdue").otherwise("Pending")
+
+
+def validation_rule(column: Column, kind: str, operator: str = "between", first=None, second=None, *, choices: list | None = None, ignore_case: bool = True, custom: Column | None = None, allow_blank: bool = True) -> Column:
+    """Whether a cell meets a rule of data validation. kind: any, list, whole, decimal, date, time, length or custom (a condition); operator: between, not_between, eq, ne, gt, lt, ge or le, with one or two operands."""
+    text = F.trim(column.cast("string"))
+    blank = column.isNull() | (text == "")
+    if kind == "any":
+        return F.lit(True)
+    if kind == "custom":
+        met = custom
+    elif kind == "list":
+        met = F.upper(text).isin([str(c).strip().upper() for c in choices or []]) if ignore_case else text.isin([str(c).strip() for c in choices or []])
+    else:
+        plain = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+        clock = F.concat(F.lit("1970-01-01 "), text)
+        value = {
+            "whole": F.when(text.rlike(plain), text.try_cast("double")), "decimal": F.when(text.rlike(plain), text.try_cast("double")), "date": text.try_cast("timestamp"),
+            "time": F.when(text.rlike(r"^\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"), clock.try_cast("timestamp")), "length": F.length(column.cast("string")),
+        }[kind]
+        operand = {"date": lambda x: F.lit(x).cast("timestamp"), "time": lambda x: F.lit(f"1970-01-01 {x}").cast("timestamp")}.get(kind, F.lit)
+        if first is None or (second is None) == operator.endswith("between"):
+            raise ValueError(f"operands of {operator}")
+        a = operand(first)
+        b = operand(second) if second is not None else None
+        met = {
+            "between": lambda: (value >= a) & (value <= b), "not_between": lambda: (value < a) | (value > b), "eq": lambda: value == a, "ne": lambda: value != a, "gt": lambda: value > a, "lt": lambda: value < a, "ge": lambda: value >= a, "le": lambda: value <= a,
+        }[operator]()
+        if kind == "whole":
+            met = met & (value == F.floor(value))
+    return F.when(blank, allow_blank).otherwise(F.coalesce(met, F.lit(False)))

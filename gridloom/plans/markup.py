@@ -82,3 +82,26 @@ _LINES = lambda c: f"array_to_string(list_filter(list_transform(string_split(tra
   SELECT page_id, section::BIGINT AS section, level, title, text FROM y WHERE text <> ''""")
 def html_sections(s, d):
     return markup.html_sections(_t(s, d, "pages"), "page_id", "html").select("page_id", "section", "level", "title", "text")
+
+
+@_query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<(?:h[1-6]|p|ul|ol|li|a|img|table|tr|td|th|form|input|select|textarea|button|blockquote|pre)(?:\\s[^>]*)?>')) AS t FROM pages), x AS (SELECT page_id, t, regexp_extract(t, '<([a-z0-9]+)', 1) AS tag FROM t)
+  SELECT page_id, CASE tag WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'ul' THEN 'list' WHEN 'li' THEN 'item' WHEN 'a' THEN 'link' ELSE tag END AS kind, count(*) AS n, CASE WHEN tag IN ('ul', 'li', 'a') THEN 1 ELSE 0 END AS depth, CASE WHEN tag = 'li' THEN count(*) END AS last, max(CASE WHEN tag = 'a' THEN replace(regexp_extract(t, 'href="([^"]*)"', 1), '&amp;', '&') END) AS target FROM x GROUP BY page_id, tag""")
+def html_nodes(s, d):
+    found = markup.html_nodes(_t(s, d, "pages"), "page_id", "html")
+    return found.groupBy("page_id", "kind", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("ordinal").alias("last"), F.max("target").alias("target")).drop("tag")
+
+
+@_query(f"""WITH {_MARKED} SELECT doc_id, md5('---' || chr(10) || 'lang: "' || lang || '"' || chr(10) || 'source:  ' || source || chr(10) || '---' || chr(10) || '## ' || source || chr(10) || replace(text, 'the', 'THE') || chr(10) || chr(10) || '### Part' || chr(10) || '```md' || chr(10) || '# code' || chr(10) || '|a|' || chr(10) || '|---|' || chr(10) || '```' || chr(10) || '| id | |' || chr(10) || '|---|:---:|' || chr(10) || '| ' || doc_id || ' |' || chr(10) || chr(10) || '#### Part ##' || chr(10) || 'end' || chr(10)) AS text,
+  3 AS headings, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'the'))) AS articles FROM m""")
+def markdown_rewrite(s, d):
+    found = markdown.rewrite(_marked(s, d), "doc_id", "body", [("deeper", "^(#{1,5}) ", "#$1 "), ("articles", "the", "THE")])
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.col("changes")["deeper"].alias("headings"), F.col("changes")["articles"].alias("articles"))
+
+
+@_query(f"""WITH {_MARKED} SELECT doc_id, lang, 2 AS n_sections, 'section-0001' AS last_id, trim(source) || ',Part' AS last_path, doc_id::VARCHAR AS cell, true AS truncated FROM m""")
+def structured_json(s, d):
+    found = markdown.structured(_marked(s, d), "doc_id", "body", most_sections=2)
+    field = lambda path: F.get_json_object("document", path)
+    return found.select(
+        "doc_id", field("$.front_matter.lang").alias("lang"), F.json_array_length(field("$.sections")).alias("n_sections"), field("$.sections[1].id").alias("last_id"), F.array_join(F.from_json(field("$.sections[1].path"), "array<string>"), ",").alias("last_path"),
+        field("$.tables[0].rows[0][0]").alias("cell"), field("$.truncated").cast("boolean").alias("truncated"))

@@ -121,13 +121,6 @@ def url_kinds(s, d):
     return _t(s, d, "pages").select("page_id", scalars.url_kind(F.col("url")).alias("kind"), scalars.file_name(F.col("url")).alias("name"))
 
 
-@_query("SELECT event_id, (CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * ((event_id % 5) * 86400 + (event_id % 24) * 3600 + (event_id % 60) * 60))::BIGINT AS seconds FROM events")
-def iso_durations(s, d):
-    n = lambda k: (F.col("event_id") % k).cast("string")
-    text = F.concat(F.when(F.col("event_id") % 2 == 1, "-").otherwise(""), F.lit("P"), n(5), F.lit("DT"), n(24), F.lit("H"), n(60), F.lit("M"))
-    return _t(s, d, "events").select("event_id", scalars.iso_duration(text).alias("seconds"))
-
-
 _SIGNALS = " || ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{p}{chr(39)})' for p in phrases)} THEN '{name},' ELSE '' END" for name, phrases in scalars.INSTRUCTION_SIGNALS.items())
 
 

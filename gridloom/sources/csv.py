@@ -91,3 +91,34 @@ def write(df: DataFrame, path: str, *, sep: str = ",", quote_all: bool = False,
     if escape:
         df = df.withColumns({f.name: escape_formulas(F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)})
     df.write.mode(mode).options(sep=sep, header=True, quoteAll=quote_all, escape='"', compression=compression, nullValue=null_value, emptyValue="").csv(path)
+
+
+def line(df: DataFrame, *, sep: str = ",", quote: str = "needed", quote_fields: tuple[str, ...] = (), null_value: str = "", date_format: str | None = None, escape: bool = False) -> Column:
+    """A row as a line of text. quote: needed (a separator, quote or line end in the field's text, of whatever type), always or never; quote_fields are quoted in any case."""
+    if quote not in ("needed", "always", "never"):
+        raise ValueError("quote: needed, always or never")
+
+    def one(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        text = F.date_format(c, date_format) if date_format and isinstance(f.dataType, (T.DateType, T.TimestampType)) else c.cast("string")
+        text = escape_formulas(text) if escape and isinstance(f.dataType, T.StringType) else text
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        must = F.lit(True) if quote == "always" or f.name in quote_fields else text.rlike(f"[{re.escape(sep)}\"\r\n]") if quote == "needed" else F.lit(False)
+        return F.when(c.isNull(), null_value).when(must, quoted).otherwise(text)
+
+    return F.array_join(F.array(*map(one, df.schema)), sep)
+
+
+def write_lines(df: DataFrame, path: str, *, header: bool = True, order: list[str] | None = None, mode: str = "errorifexists", **options) -> None:
+    """Write lines as line() makes them, each file with a header, the only line of an empty table. With an order, files by their names and lines in them are in that order, written by as many tasks as there are ranges."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    top = options.get("sep", ",").join(df.columns)
+    made = df.select(line(df, **options).alias("value"))
+    if header:
+        # the first row of a task begins its file
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        made = made.select(F.when(first, F.concat(F.lit(top + "\n"), "value")).otherwise(F.col("value")).alias("value"))
+        if df.isEmpty():
+            made = df.sparkSession.createDataFrame([(top,)], "value string").coalesce(1)
+    made.write.mode(mode).text(path)

@@ -52,16 +52,21 @@ def detect(df: DataFrame, name: str, content: str, mode: str = "prefer_content",
     found += [(F.startswith("_x", F.lit(bytes_)), f"signature:{n}", kind, "high") for n, (bytes_, kind) in SIGNATURES.items()]
     found += [(F.col("_t").rlike(pattern), f"token:{n}", kind, sure) for n, (pattern, kind, sure) in TOKENS.items()]
     found += [((F.length("_t") > 0) & ~F.col("_t").rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"), "text", "Text", "low")]
-    tell = lambda condition, evidence, kind, sure: F.when(condition, F.struct(F.lit(evidence).alias("evidence"), F.lit(kind).alias("kind"), F.lit(sure).alias("sure")))
-    first = probed.withColumn("_c", F.coalesce(*(tell(*x) for x in found)))
-    sure = F.coalesce("_c.sure", F.lit("none"))
-    kind = F.coalesce("_c.kind", F.lit("Unknown"))
-    known = F.col("extension_kind") != "Unknown"
-    strong = sure.isin("medium", "high")
+    which = F.coalesce(*(F.when(x[0], F.lit(k)) for k, x in enumerate(found)), F.lit(len(found)))
+    told = [*(x[1:] for x in found), (None, "Unknown", "none")]
+    evidences, names, sures = (F.array(*(F.lit(t[k]).cast("string") for t in told)) for k in range(3))
     # a compound file can be any of these, and text can be of any kind of text
     allowed = [("OleCompound", ["Word", "Excel", "PowerPoint", "OutlookMessage"]), ("Json", ["Notebook"]), ("Xml", ["Html"])]
-    agrees = reduce(lambda a, b: a | b, [(kind == F.col("extension_kind")), *((kind == a) & F.col("extension_kind").isin(b) for a, b in allowed)])
-    chosen = F.when(agrees, F.col("extension_kind")).when(strong | ~known, kind).otherwise(F.col("extension_kind"))
-    evidence = F.array_compact(F.array(F.when(known, F.concat(F.lit("extension:"), extension(F.col(name)))), F.col("_c.evidence")))
-    return first.withColumns({
-        "content_kind": kind, "content_confidence": sure, "kind": chosen, "evidence": evidence, "mismatch": known & strong & ~agrees, "inspected_bytes": F.coalesce(F.octet_length("_h"), F.lit(0)).cast("long")}).drop("_h", "_x", "_t", "_c")
+
+    def judge(v: Column) -> Column:
+        kind, sure, of_name = F.get(names, v["which"]), F.get(sures, v["which"]), v["extension_kind"]
+        known, strong = of_name != "Unknown", sure.isin("medium", "high")
+        agrees = reduce(lambda a, b: a | b, [(kind == of_name), *((kind == a) & of_name.isin(b) for a, b in allowed)])
+        chosen = F.when(agrees, of_name).when(strong | ~known, kind).otherwise(of_name)
+        evidence = F.array_compact(F.array(F.when(known, F.concat(F.lit("extension:"), v["extension"])), F.get(evidences, v["which"])))
+        return F.struct(kind.alias("content_kind"), sure.alias("content_confidence"), chosen.alias("kind"), evidence.alias("evidence"), (known & strong & ~agrees).alias("mismatch"))
+
+    # judged within one value, so that what has been found is looked for once
+    value = F.struct(which.alias("which"), F.col("extension_kind"), extension(F.col(name)).alias("extension"))
+    judged = probed.withColumns({"_r": F.get(F.transform(F.array(value), judge), F.lit(0)), "inspected_bytes": F.coalesce(F.octet_length("_h"), F.lit(0)).cast("long")})
+    return judged.withColumns({c: F.col(f"_r.{c}") for c in ("content_kind", "content_confidence", "kind", "evidence", "mismatch")}).drop("_h", "_x", "_t", "_r")

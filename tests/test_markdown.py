@@ -98,3 +98,21 @@ def test_chunks_stay_in_their_section(spark):
     assert got[3]["text"] == "x" * 400
     plain = hierarchy.chunks(sections, "id", most=12, overlap=4, tokens=lambda c: F.size(F.split(c, " "))).orderBy("chunk").first()
     assert (plain["last_block"], plain["tokens"]) == (2, 12)
+
+
+def test_rewriting_leaves_code_alone(spark):
+    got = markdown.rewrite(_table(spark, "---\na: x\n---\nx y\n```\nx\n```\nxx\r\n", None), "id", "body", [("one", "x", "z"), ("two", "^zz$", "w"), ("none", "q", "")]).orderBy("id").collect()
+    assert [(r["text"], r["changes"]) for r in got] == [("---\na: x\n---\nz y\n```\nx\n```\nw\n", {"one": 2, "two": 1, "none": 0}), ("", {"one": 0, "two": 0, "none": 0})]
+
+
+def test_structured_documents_are_cut(spark):
+    import json
+
+    df = _table(spark, "# A\nab\n# B\ncdef\n\na|b\n---|---\n1|2", "")
+    whole = [json.loads(r["document"]) for r in markdown.structured(df, "id", "body").orderBy("id").collect()]
+    assert [s["id"] for s in whole[0]["sections"]] == ["section-0000", "section-0001"] and whole[0]["tables"][0]["rows"] == [["1", "2"]] and not whole[0]["truncated"]
+    assert whole[1] == {"sections": [], "tables": [], "truncated": False}
+    few = json.loads(markdown.structured(df, "id", "body", most_sections=1).orderBy("id").first()["document"])
+    assert (len(few["sections"]), few["truncated"]) == (1, True)
+    short = json.loads(markdown.structured(df, "id", "body", most_chars=9).orderBy("id").first()["document"])
+    assert [s["text"] for s in short["sections"]] == ["# A\nab", "# B"] and short["truncated"]

@@ -63,3 +63,11 @@ def test_html_sections(spark):
     got = markup.html_sections(spark.createDataFrame([(1, page), (2, ""), (3, None), (4, "a &copy; &#8364; &unknown; <")], "id int, body string"), "id", "body").orderBy("id", "section").collect()
     assert [(r["id"], r["section"], r["level"], r["title"], r["path"], r["text"]) for r in got] == [
         (1, 0, None, None, [], "T\nMenu"), (1, 1, 1, "One & two", ["One & two"], "One & two\na\nb c"), (1, 2, 2, "Sub", ["One & two", "Sub"], "Sub\nx\ny"), (1, 3, 1, "End", ["End"], "End"), (4, 0, None, None, [], "a © € &unknown; <")]
+
+
+def test_html_nodes(spark):
+    page = '<ul><li>a<ol><li>b<li>c</ol><li><a href="x?a=1&amp;b=2">d</a></ul><ul><li>e</ul><!-- <p> --><img SRC=\'i.png\'><form action=go><input name="n"></form></ul><p>'
+    got = markup.html_nodes(spark.createDataFrame([(1, page), (2, None)], "id int, body string"), "id", "body").orderBy("node").collect()
+    assert [(r["kind"], r["depth"], r["ordinal"], r["target"]) for r in got] == [
+        ("list", 1, None, None), ("item", 1, 1, None), ("list", 2, None, None), ("item", 2, 1, None), ("item", 2, 2, None), ("item", 1, 2, None), ("link", 1, None, "x?a=1&b=2"), ("list", 1, None, None), ("item", 1, 1, None),
+        ("image", 0, None, "i.png"), ("form", 0, None, "go"), ("field", 0, None, "n"), ("paragraph", 0, None, None)]
