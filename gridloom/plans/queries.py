@@ -24,7 +24,7 @@ def record_query_pages(s, d):
 _MAIL = "m AS (SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'Inbox' ELSE 'Inbox/Sent' END AS folder, role AS kind, left(text, 40) AS subject, role || '@x' AS sender, CASE WHEN turn % 3 > 0 THEN conv_id * 10 + turn END AS received, conv_id * 10 AS sent, turn % 4 = 0 AS has_attachments, turn < 4 AS is_read FROM conversations)"
 
 
-@_query(f"""WITH {_MAIL}, n AS (SELECT * FROM m ORDER BY id LIMIT 250) SELECT id, folder, subject, false AS has_more, true AS scan_limit_reached FROM n WHERE (folder = 'Inbox' OR starts_with(folder, 'Inbox/')) AND contains(upper(subject), 'E') AND sender ILIKE '%ANT@%' AND coalesce(received, sent) >= 100 AND coalesce(received, sent) < 400 AND is_read AND NOT has_attachments""")
+@_query(f"""WITH {_MAIL}, n AS (SELECT * FROM m ORDER BY id LIMIT 250) SELECT id, folder, subject, false AS has_more, (SELECT count(*) > 250 FROM m) AS scan_limit_reached FROM n WHERE (folder = 'Inbox' OR starts_with(folder, 'Inbox/')) AND contains(upper(subject), 'E') AND sender ILIKE '%ANT@%' AND coalesce(received, sent) >= 100 AND coalesce(received, sent) < 400 AND is_read AND NOT has_attachments""")
 def message_query(s, d):
     turns, t = _t(s, d, "conversations"), F.col("turn")
     mail = turns.select(
