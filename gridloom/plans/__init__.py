@@ -1,6 +1,6 @@
 """The registered queries over the operators, with their SQL."""
 
-from . import delimited, markup, messages, queries as _queries, reading, records, rules, sheets, tables  # noqa: F401  the others register their queries with those of tables
+from . import delimited, markup, messages, queries as _queries, reading, records, rules, shaping, sheets, tables  # noqa: F401  the others register their queries with those of tables
 
 
 def queries() -> dict:
