@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 #: Comments, character data, instructions, declarations, tags (a > within quotes does not end one), and text.
 TOKEN = r"""<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<\?(?s:.*?)\?>|<![A-Za-z][^>\[]*+(?:\[[^\]]*+\])?+[^>]*+>|</[^>]*+>|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 ATTRIBUTE = r"""([^\s=<>"'/]++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
@@ -64,13 +66,15 @@ def xml_rows(df: DataFrame, key: str, xml: str, depth: int = 32) -> DataFrame:
     number = F.sum(element.cast("int")).over(Window.partitionBy("key", "parent", "name").orderBy("pos"))
     all_ = Window.partitionBy("key")
     counted = placed.withColumn("segment", F.when(element, F.concat("name", F.lit("["), number.cast("string"), F.lit("]"))))
-    judged = counted.withColumns({"wrong": F.max("wrong").over(all_), "open": F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(all_), "deepest": F.max("level").over(all_)}).where("not wrong and open = 0")
+    # written, so that only as many levels as there are have a window
+    table = graph._written(counted)[0]
+    levels = range(1, max(1, min(depth, table.agg(F.max("level")).first()[0] or 1)) + 1)
+    judged = table.withColumns({"wrong": F.max("wrong").over(all_), "open": F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(all_), "deepest": F.max("level").over(all_)}).where("not wrong and open = 0")
     fits = F.when(F.col("deepest") > depth, F.raise_error(F.concat(F.lit(f"more than {depth} elements within each other: "), F.col("deepest").cast("string"))).cast("boolean")).otherwise(True)
     checked = judged.where(fits)
-    last = {f"_{k}": F.last(F.when(element & (F.col("level") == k), F.struct("pos", "segment")), ignorenulls=True).over(w) for k in range(1, depth + 1)}
+    last = {f"_{k}": F.last(F.when(element & (F.col("level") == k), F.struct("pos", "segment")), ignorenulls=True).over(w) for k in levels}
     around = checked.where("kind <> 'close'").withColumns(last)
-    levels = F.array(*(F.col(f"_{k}") for k in range(1, depth + 1)))
-    held = around.withColumn("above", F.slice(levels, F.lit(1), F.greatest(F.col("level"), F.lit(1)).cast("int"))).drop(*last)
+    held = around.withColumn("above", F.slice(F.array(*(F.col(c) for c in last)), F.lit(1), F.greatest(F.col("level"), F.lit(1)).cast("int"))).drop(*last)
     text = F.when(F.startswith(c, F.lit("<![CDATA[")), F.substr(c, F.lit(10), F.length(c) - 12)).otherwise(characters(c))
     pieces = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", text.alias("text")))))
     tag = F.max(F.when(element, c))

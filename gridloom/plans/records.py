@@ -94,9 +94,10 @@ def size_bounded_split(s, d):
     return records.split_by_size(_t(s, d, "documents"), "doc_id", F.octet_length("text"), 100_000, 64).select("doc_id", "part")
 
 
-@_query("""SELECT event_id AS key, '$' AS path, 'object' AS type, NULL AS value FROM events UNION ALL SELECT event_id, '$.k', 'number', json_extract_string(props, '$.k') FROM events""")
+@_query("""WITH e AS (SELECT event_id AS key, json_extract_string(props, '$.k') AS k FROM events) SELECT key, path, type, CASE value WHEN 'K' THEN k ELSE value END AS value FROM e, (VALUES ('$', 'object', NULL), ('$.k', 'number', 'K'), ('$.a', 'array', NULL), ('$.a[0]', 'boolean', 'true'), ('$.a[1]', 'null', NULL), ('$.a[2]', 'string', 'x"é'), ('$.a[3]', 'array', NULL), ('$.a[3][0]', 'object', NULL), ('$.o', 'object', NULL), ('$.o.b', 'number', '1.5'), ('$.o.e', 'string', '')) v(path, type, value)""")
 def json_path_rows(s, d):
-    return records.json_rows(_t(s, d, "events"), "event_id", "props")
+    text = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "a": [true, null, "x\\"é", [{}]], "o": {"b": 1.5, "e": ""}}'))
+    return records.json_rows(_t(s, d, "events").select("event_id", text.alias("text")), "event_id", "text")
 
 
 @_query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Disabled' WHEN o_totalprice < 20000 THEN 'ActiveWithoutSignalTime' WHEN o_orderdate <= TIMESTAMP '1997-01-01' THEN 'Overdue' ELSE 'Pending' END AS state FROM orders""")
@@ -105,20 +106,26 @@ def reminder_queue(s, d):
     return _t(s, d, "orders").select("o_orderkey", records.reminder_state(F.col("o_orderstatus") != "F", signal, F.lit("1997-01-01").cast("timestamp")).alias("state"))
 
 
-@_query("SELECT o_orderkey, left(o_orderpriority, 1)::DOUBLE AS number, NULL::DOUBLE AS bad, o_orderpriority NOT LIKE '0%' AS truth FROM orders")
+@_query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN left(o_orderpriority, 1)::DOUBLE WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN -150 WHEN 6 THEN 0 END AS number, CASE o_orderkey % 7 WHEN 0 THEN o_orderpriority NOT LIKE '0%' WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 6 THEN false END AS truth FROM orders""")
 def coercions(s, d):
-    return _t(s, d, "orders").select("o_orderkey", scalars.to_number(F.substring("o_orderpriority", 1, 1)).alias("number"), scalars.to_number(F.col("o_orderpriority")).alias("bad"), scalars.to_boolean(F.substring("o_orderpriority", 1, 1)).alias("truth"))
+    k = F.col("o_orderkey") % 7
+    text = F.when(k == 0, F.substring("o_orderpriority", 1, 1)).when(k == 1, " True").when(k == 2, "FALSE").when(k == 3, "  ").when(k == 4, "-1.5e2").when(k == 5, F.col("o_orderpriority"))
+    return _t(s, d, "orders").select("o_orderkey", scalars.to_number(text).alias("number"), scalars.to_boolean(text).alias("truth"))
 
 
-@_query("SELECT o_orderkey, (o_orderdate::DATE - DATE '1899-12-30')::INT AS serial, (o_orderdate::DATE - DATE '1904-01-01')::INT AS serial_1904, o_orderdate::DATE AS day FROM orders")
+@_query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE ELSE DATE '1900-01-01' + (o_orderkey % 120)::INT END AS day FROM orders) SELECT o_orderkey, (day - CASE WHEN day < DATE '1900-03-01' THEN DATE '1899-12-31' ELSE DATE '1899-12-30' END)::INT AS serial, (day - DATE '1904-01-01')::INT AS serial_1904, day, day AS day_1904 FROM o""")
 def date_serials(s, d):
-    day = F.col("o_orderdate").cast("date")
-    return _t(s, d, "orders").select("o_orderkey", scalars.date_serial(day).alias("serial"), scalars.date_serial(day, 1904).alias("serial_1904"), scalars.serial_date(scalars.date_serial(day)).alias("day"))
+    k = F.col("o_orderkey")
+    day = F.when(k % 2 == 0, F.col("o_orderdate").cast("date")).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), (k % 120).cast("int")))
+    return _t(s, d, "orders").select("o_orderkey", scalars.date_serial(day).alias("serial"), scalars.date_serial(day, 1904).alias("serial_1904"), scalars.serial_date(scalars.date_serial(day)).alias("day"), scalars.serial_date(scalars.date_serial(day, 1904), 1904).alias("day_1904"))
 
 
-@_query("""SELECT page_id, CASE WHEN url ~ '^https?:' THEN 'web' ELSE 'relative' END AS kind, trim(regexp_replace(lower(url), '[^a-z0-9_]+', '-', 'g'), '-') AS name FROM pages""")
+@_query("""SELECT page_id, ['web', 'script', 'data', 'file', 'mailto', 'other', 'relative', 'empty', 'web'][page_id % 9 + 1] AS kind, CASE page_id % 9 WHEN 7 THEN 'asset' WHEN 8 THEN trim(regexp_replace(lower(url), '[^a-z0-9_]+', '-', 'g'), '-') ELSE ['a-org', 'java-script-x', 'data-x', 'file-c', 'mailto-a', 'x-y', 'c_d'][page_id % 9 + 1] END AS name FROM pages""")
 def url_kinds(s, d):
-    return _t(s, d, "pages").select("page_id", scalars.url_kind(F.col("url")).alias("kind"), scalars.file_name(F.col("url")).alias("name"))
+    k = (F.col("page_id") % 9).cast("int")
+    url = F.coalesce(F.get(F.array(*map(F.lit, ("http://a.org", " java\tscript:X", "DATA:,x", "file:///c", "mailto:a", "x-y:", "C_d?", "  "))), k), F.col("url"))
+    name = F.when(k == 0, "a.org").otherwise(url)
+    return _t(s, d, "pages").select("page_id", scalars.url_kind(url).alias("kind"), scalars.file_name(name).alias("name"))
 
 
 _SIGNALS = " || ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{p}{chr(39)})' for p in phrases)} THEN '{name},' ELSE '' END" for name, phrases in scalars.INSTRUCTION_SIGNALS.items())
