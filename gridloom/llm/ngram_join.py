@@ -254,11 +254,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     return found
 
 
+def _parities_allowed(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (id, other and further columns), those whose parities allow a link."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    return pairs.join(side("id"), "id").join(side("other"), "other").where(_parities_allow(F.col("n_id"), F.col("n_other"), F.col("p_id"), F.col("p_other"), threshold)).select(pairs.columns)
+
+
 def _parities_checked(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (id, other), each once, those whose parities allow a link, as a written table."""
     once = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("id").alias("id")).select("id", (F.col("a") + F.col("b") - F.col("id")).alias("other"))
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
-    return storage.materialize(once.join(side("id"), "id").join(side("other"), "other").where(_parities_allow(F.col("n_id"), F.col("n_other"), F.col("p_id"), F.col("p_other"), threshold)).select("id", "other"))
+    return storage.materialize(_parities_allowed(once, classes, threshold))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, threshold: int = THRESHOLD) -> DataFrame:
@@ -286,7 +291,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     order.unpersist()
 
     # one other class for each: the key's own choice of a class, of all its keys the one with most keys in common;
-    # then again among classes of different components
+    # then again among classes of different components, every choice whose parities allow a link: the keys of a very
+    # common passage mostly choose unlike classes, and of pairs looked at here none is looked at below
     links = parts = tried = None
     rest = shared
     for turn in range(ROUNDS):
@@ -295,7 +301,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
         stars = rest.select("*", chosen.alias("c")).where(able & _sizes_allow(F.col("n"), F.col("c.n"), threshold)).groupBy("id", F.col("c.id").alias("other")).agg(F.count("*").alias("common"))
         if tried is not None:
             stars = stars.join(tried, ["id", "other"], "left_anti")
-        picked = storage.materialize(stars.groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", "x.other"))
+        picked = storage.materialize(_parities_allowed(stars.select("id", "other"), classes, threshold) if turn else stars.groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", "x.other"))
         best = _parities_checked(picked, classes, threshold)
         more = _verified(best, docs, size, threshold)
         # what was looked at is not looked at again, from either side
@@ -306,9 +312,10 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
         label = found.withColumnRenamed("node", "id")
         labelled = rest.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         still = storage.materialize(labelled.select("*", F.min("component").over(everyone).alias("lo"), F.max("component").over(everyone).alias("hi")).where("lo <> hi").drop("lo", "hi"))
+        done = still.isEmpty() or bool(turn and more.isEmpty())
         storage.discard(picked, best, rest, *([] if links is None else [links, more, parts, tried]))
         links, parts, tried, rest = every, found, seen, still
-        if rest.isEmpty():
+        if done:
             break
 
     # whatever shares a key across components
