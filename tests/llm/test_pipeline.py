@@ -43,3 +43,15 @@ def test_stages_and_run(spark, folder, tmp_path):
     assert texts[1].split("\n")[0] not in dict(kept["line dedup"])[62]
     assert near == lines and clean == near - {61}
     assert mixed <= clean and len(kept["mixing sources"]) >= len(clean)
+
+
+def test_a_settled_stage_leaves_no_other_table(spark):
+    import os
+
+    from gridloom.llm import storage
+
+    folder = storage.shared_dir(spark)
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = storage.settle(lambda: storage.materialize(storage.materialize(spark.range(5)).where("id > 1")).where("id > 2"))
+    assert sorted(r.id for r in out.collect()) == [3, 4]
+    assert set(os.listdir(folder)) - there == {os.path.basename(out._gridloom_path)}
