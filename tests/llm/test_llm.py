@@ -280,20 +280,24 @@ def test_jaccard_join_leaves_few_pairs_of_a_large_group_for_the_last_step(spark,
 
     r = random.Random(8)
     word = lambda: f"w{r.randrange(10**6)}"
-    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
-    near = [[word() if r.random() < 0.02 else w for w in base] for _ in range(80)]
-    common = [passage + [word() for _ in range(90)] for _ in range(300)]
+    # near copies of a text that ends with a very common passage, whose keys unlike texts have, too
+    passage = [word() for _ in range(130)]
+    base = [word() for _ in range(6)] + passage
+    near = [[word() if r.random() < 0.009 else w for w in base] for _ in range(60)]
+    common = [[word() for _ in range(18)] + passage for _ in range(200)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(near + common)], "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "ROUNDS", 3)
     looked_at = []
     verified = ngram_join._verified
     monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: looked_at.append(pairs.count()) or verified(pairs, *rest))
     found = {x.doc_id: x.component_id for x in ngram_join.join(docs).collect()}
     sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in near + common]
     component = list(range(len(sets)))
-    for a in range(len(near)):
+    for a in range(len(sets)):
         for b in range(a):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((component[a], component[b]))
                 component = [x if c == y else c for c in component]
     assert found == dict(enumerate(component))
-    assert looked_at[-1] <= len(near), looked_at
+    # 126 while each class took one choice a round, allowed or not
+    assert looked_at[-1] < 100, looked_at
