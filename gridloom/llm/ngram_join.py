@@ -320,12 +320,15 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 
     # whatever shares a key across components
     sides = storage.materialize(rest.join(classes.select("id", "parity"), "id"))
+    storage.discard(rest)
     x, y = sides.alias("x"), sides.alias("y")
     across = (F.col("x.component") < F.col("y.component")) & _sizes_allow(F.col("x.n"), F.col("y.n"), threshold) & _parities_allow(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"), threshold)
     pairs = storage.materialize(x.join(y, (F.col("x.key") == F.col("y.key")) & across).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct().join(tried, ["id", "other"], "left_anti"))
+    # before texts are dealt, which take most space
+    storage.discard(sides, tried, parts)
     more = _verified(pairs, docs, size, threshold)
     parts = storage.materialize(connected_components(links.unionByName(more), "a", "b"))
-    storage.discard(sides, rest, pairs, links, more, tried)
+    storage.discard(pairs, links, more)
 
     labels = classes.select(*same, "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = documents.select("id", *same).join(labels, list(same), "left")

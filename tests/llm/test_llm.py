@@ -301,3 +301,25 @@ def test_jaccard_join_leaves_few_pairs_of_a_large_group_for_the_last_step(spark,
     assert found == dict(enumerate(component))
     # 126 while each class took one choice a round, allowed or not
     assert looked_at[-1] < 100, looked_at
+
+
+def test_ngram_join_deals_its_last_texts_without_the_tables_of_keys(spark, monkeypatch):
+    import os
+
+    # the tables of keys that are there whenever texts are dealt
+    keys, there = [], []
+    materialize, verified = ngram_join.storage.materialize, ngram_join._verified
+
+    def written(df):
+        table = materialize(df)
+        if "key" in table.columns:
+            keys.append(table._gridloom_path)
+        return table
+
+    monkeypatch.setattr(ngram_join.storage, "materialize", written)
+    monkeypatch.setattr(ngram_join, "_verified", lambda *a: (there.append(sum(map(os.path.isdir, keys))), verified(*a))[1])
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[::-1])]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert there[0] and not there[-1], there
