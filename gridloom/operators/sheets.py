@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The last row and column of a sheet. Fixed values.
 ROWS, COLUMNS = 1_048_576, 16_384
-_PART = r"""(?:"[^"]*+")+|'[^']*+'!|\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?![A-Za-z0-9_(])|[A-Za-z_][A-Za-z0-9_.]*+\(?|(?s:.)"""
-_REFERENCE = r"^(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$"
+_PART = r"""(?:"[^"]*+")+|'[^']*+'!|\$?[A-Za-z]{1,3}\$?[0-9]{1,DIGITS}(?![A-Za-z0-9_(])|[A-Za-z_][A-Za-z0-9_.]*+\(?|[^"'$A-Za-z_]++|(?s:.)"""
+_REFERENCE = r"^(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,DIGITS})$"
 
 
 def column_number(letters: Column) -> Column:
@@ -31,51 +31,55 @@ def _moved(at: Column, first: int, count: int) -> Column:
     return F.when(at < first, at).when(at >= first - count, at + count)
 
 
-def moved_references(formula: Column, *, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None) -> Column:
-    """A formula whose references to this sheet follow an insertion or deletion (first, count); what is deleted or runs off the sheet becomes #REF!. Texts in quotes, names and references to other sheets stay."""
-    parts = F.regexp_extract_all(formula, F.lit(_PART), F.lit(0))
+def moved_references(formula: Column, *, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, last_row: int | None = ROWS) -> Column:
+    """A formula whose references to this sheet follow an insertion or deletion (first, count); what is deleted or runs off the sheet becomes #REF!. Texts in quotes, names and references to other sheets stay. last_row: None for a table of any length."""
+    part, reference = (x.replace("DIGITS", "7" if last_row is not None else "18") for x in (_PART, _REFERENCE))
+    group = lambda p, k: F.regexp_extract(p, reference, k)
+    beyond = lambda row: row > last_row if last_row is not None else F.lit(False)
 
-    def one(p: Column, last: Column) -> Column:
-        row, column = F.regexp_extract(p, _REFERENCE, 4).try_cast("int"), column_number(F.regexp_extract(p, _REFERENCE, 2))
-        new_row = _moved(row, *rows) if rows else row
-        new_column = _moved(column, *columns) if columns else column
-        lost = new_row.isNull() | new_column.isNull() | (new_row > ROWS) | (new_column > COLUMNS)
-        made = F.when(lost, "#REF!").otherwise(F.concat(F.regexp_extract(p, _REFERENCE, 1), column_letters(new_column), F.regexp_extract(p, _REFERENCE, 3), new_row.cast("string")))
-        valid = row.between(1, ROWS) & column.between(1, COLUMNS)
-        return F.when(p.rlike(_REFERENCE) & valid & ~F.endswith(last, F.lit("!")), made).otherwise(p)
+    # a transform for each step, so that a reference is taken apart once
+    place = lambda p: F.struct(group(p, 4).try_cast("long").alias("row"), column_number(group(p, 2)).alias("column"))
+    read = F.transform(F.regexp_extract_all(formula, F.lit(part), F.lit(0)), lambda p: F.struct(p.alias("text"), F.when(p.rlike(reference), place(p)).alias("at")))
+    valid = lambda at: (at["row"] >= 1) & ~beyond(at["row"]) & at["column"].between(1, COLUMNS)
+    to = lambda at: F.struct((_moved(at["row"], *rows) if rows else at["row"]).alias("row"), (_moved(at["column"], *columns) if columns else at["column"]).alias("column"))
+    placed = F.transform(read, lambda p: F.struct(p["text"].alias("text"), F.when(valid(p["at"]), to(p["at"])).alias("to")))
+    lost = lambda to: to["row"].isNull() | to["column"].isNull() | beyond(to["row"]) | (to["column"] > COLUMNS)
+    made = lambda p: F.when(lost(p["to"]), "#REF!").otherwise(F.concat(group(p["text"], 1), column_letters(p["to"]["column"]), group(p["text"], 3), p["to"]["row"].cast("string")))
 
     def step(s: Column, p: Column) -> Column:
-        return F.struct(F.concat(s["out"], one(p, s["last"])).alias("out"), p.alias("last"))
+        own = p["to"].isNotNull() & ~F.endswith(s["last"], F.lit("!"))
+        return F.struct(F.concat(s["out"], F.when(own, made(p)).otherwise(p["text"])).alias("out"), p["text"].alias("last"))
 
-    return F.when(formula.isNotNull(), F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit("").alias("last")), step, lambda s: s["out"]))
+    return F.when(formula.isNotNull(), F.aggregate(placed, F.struct(F.lit("").alias("out"), F.lit("").alias("last")), step, lambda s: s["out"]))
 
 
-def _edit(cells: DataFrame, axis: str, first: int, count: int) -> DataFrame:
+def _edit(cells: DataFrame, axis: str, first: int, count: int, last_row: int | None) -> DataFrame:
     if first < 1 or count == 0:
         raise ValueError("from the first place on, one at least")
-    last, change = (ROWS, {"rows": (first, count)}) if axis == "row" else (COLUMNS, {"columns": (first, count)})
-    at = _moved(F.col(axis), first, count)
-    off = F.when(at > last, F.raise_error(F.concat(F.lit(f"a cell would leave the sheet: {axis} "), F.col(axis).cast("string"))).cast("int")).otherwise(at)
-    out = cells.withColumn(axis, off.cast(cells.schema[axis].dataType)).where(F.col(axis).isNotNull())
-    return out.withColumn("formula", moved_references(F.col("formula"), **change)) if "formula" in cells.columns else out
+    last, change = (last_row, {"rows": (first, count)}) if axis == "row" else (COLUMNS, {"columns": (first, count)})
+    to = _moved(F.col(axis), first, count)
+    if last is not None:
+        to = F.when(to > last, F.raise_error(F.concat(F.lit(f"a cell would leave the sheet: {axis} "), F.col(axis).cast("string"))).cast("int")).otherwise(to)
+    out = cells.withColumn(axis, to.cast(cells.schema[axis].dataType)).where(F.col(axis).isNotNull())
+    return out.withColumn("formula", moved_references(F.col("formula"), **change, last_row=last_row)) if "formula" in cells.columns else out
 
 
-def insert_rows(cells: DataFrame, first: int, count: int = 1) -> DataFrame:
-    """Cells after empty rows come in before row `first`. A cell that would leave the sheet is an error."""
-    return _edit(cells, "row", first, abs(count))
+def insert_rows(cells: DataFrame, first: int, count: int = 1, *, last_row: int | None = ROWS) -> DataFrame:
+    """Cells after empty rows come in before row `first`. A cell that would leave the sheet is an error; last_row: None for a table of any length, which none leaves at its end."""
+    return _edit(cells, "row", first, abs(count), last_row)
 
 
-def delete_rows(cells: DataFrame, first: int, count: int = 1) -> DataFrame:
-    """Cells without the rows from `first` on, those below moved up; references to them are #REF!."""
-    return _edit(cells, "row", first, -abs(count))
+def delete_rows(cells: DataFrame, first: int, count: int = 1, *, last_row: int | None = ROWS) -> DataFrame:
+    """Cells without the rows from `first` on, those below moved up; references to them are #REF!. last_row: as in insert_rows."""
+    return _edit(cells, "row", first, -abs(count), last_row)
 
 
-def insert_columns(cells: DataFrame, first: int, count: int = 1) -> DataFrame:
-    return _edit(cells, "column", first, abs(count))
+def insert_columns(cells: DataFrame, first: int, count: int = 1, *, last_row: int | None = ROWS) -> DataFrame:
+    return _edit(cells, "column", first, abs(count), last_row)
 
 
-def delete_columns(cells: DataFrame, first: int, count: int = 1) -> DataFrame:
-    return _edit(cells, "column", first, -abs(count))
+def delete_columns(cells: DataFrame, first: int, count: int = 1, *, last_row: int | None = ROWS) -> DataFrame:
+    return _edit(cells, "column", first, -abs(count), last_row)
 
 
 def move_cells(cells: DataFrame, area: tuple[int, int, int, int], row: int, column: int, *, copy: bool = False, overwrite: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from .tables import _query, _t
 
 
 def _cells(s, d):
-    """Parts as a sheet: key, name and a formula in three columns."""
+    """Parts as a sheet, of as many rows as there are parts: key, name and a formula in three columns."""
     part = _t(s, d, "part")
     r = F.col("p_partkey") + 1
     text = lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
@@ -34,7 +34,7 @@ def sheet_insert_rows(s, d):
 
 @_query(f"""WITH p AS (SELECT p_partkey + 1 AS r, p_name FROM part) SELECT (CASE WHEN r < 100 THEN r ELSE r - 7 END)::INT AS row, c AS "column", CASE c WHEN 1 THEN r::VARCHAR WHEN 2 THEN p_name END AS value, CASE c WHEN 4 THEN {_FORMULA(_CUT("A", "r"), _CUT("$B$", "(r + 5)"), _CUT("AA", "r"))} END AS formula FROM p, {_THREE} WHERE r NOT BETWEEN 100 AND 106""")
 def sheet_delete_rows(s, d):
-    return sheets.delete_rows(_cells(s, d), 100, 7)
+    return sheets.delete_rows(_cells(s, d), 100, 7, last_row=None)
 
 
 @_query(f"""WITH p AS (SELECT p_partkey + 1 AS r, p_name FROM part) SELECT r::INT AS row, CASE WHEN c = 1 THEN 1 ELSE c + 25 END AS "column", CASE c WHEN 1 THEN r::VARCHAR WHEN 2 THEN p_name END AS value, CASE c WHEN 4 THEN {_FORMULA("'A' || r", "'$AA$' || (r + 5)", "'AZ' || r")} END AS formula FROM p, {_THREE}""")

@@ -1,8 +1,10 @@
 """Cells, their references and normalised documents on small tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import plans
 from gridloom.operators import normalize, sheets
 
 SCHEMA = "row int, column int, value string, formula string"
@@ -41,6 +43,24 @@ def test_cells_that_would_leave_the_sheet(spark):
         sheets.insert_rows(_sheet(spark), 0)
 
 
+def test_tables_longer_than_a_sheet(spark):
+    df = _sheet(spark, (99, 1, "a"), (1048570, 1, "b"), (12345678, 4, None, "A1048577+$B$12345678&Other!A1048577&A9"))
+    assert _got(sheets.insert_rows(df, 100, 7, last_row=None)) == [(99, 1, "a", None), (1048577, 1, "b", None), (12345685, 4, None, "A1048584+$B$12345685&Other!A1048577&A9")]
+    assert _got(sheets.delete_rows(df, 100, 7, last_row=None)) == [(99, 1, "a", None), (1048563, 1, "b", None), (12345671, 4, None, "A1048570+$B$12345671&Other!A1048577&A9")]
+    assert _got(sheets.insert_columns(df, 2, 25, last_row=None)) == [(99, 1, "a", None), (1048570, 1, "b", None), (12345678, 29, None, "A1048577+$AA$12345678&Other!A1048577&A9")]
+
+
+@pytest.mark.parametrize("name", ["sheet_delete_rows"])
+def test_queries_over_more_parts_than_a_sheet_has_rows(spark, tmp_path, name):
+    keys = "(VALUES (0), (98), (99), (105), (106), (1048568), (1048569), (1048575), (9999997)) AS p (p_partkey)"
+    spark.sql(f"SELECT CAST(p_partkey AS long) AS p_partkey, concat('n', p_partkey) AS p_name FROM {keys}").write.parquet(f"{tmp_path}/part.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        rel = c.sql(plans.oracle_sql()[name])
+        want = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
+    assert _got(plans.queries()[name](spark, str(tmp_path))) == sorted((r["row"], r["column"], r["value"], r["formula"]) for r in want)
+
+
 def test_moves_and_copies(spark):
     df = _sheet(spark, (1, 1, "a"), (1, 2, "b", "A1"), (5, 2, "c"))
     assert _got(sheets.move_cells(df, (1, 1, 1, 2), 2, 2)) == [(2, 2, "a", None), (2, 3, "b", "A1"), (5, 2, "c", None)]
