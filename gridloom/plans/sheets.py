@@ -29,7 +29,7 @@ _THREE = "(SELECT unnest([1, 2, 4])::INT AS c)"
 
 @_query(f"""WITH p AS (SELECT p_partkey + 1 AS r, p_name FROM part) SELECT ({_ROW("r")})::INT AS row, c AS "column", CASE c WHEN 1 THEN r::VARCHAR WHEN 2 THEN p_name END AS value, CASE c WHEN 4 THEN {_FORMULA(f"'A' || {_ROW('r')}", f"'$B$' || {_ROW('(r + 5)')}", f"'AA' || {_ROW('r')}")} END AS formula FROM p, {_THREE}""")
 def sheet_insert_rows(s, d):
-    return sheets.insert_rows(_cells(s, d), 100, 7)
+    return sheets.insert_rows(_cells(s, d), 100, 7, last_row=None)
 
 
 @_query(f"""WITH p AS (SELECT p_partkey + 1 AS r, p_name FROM part) SELECT (CASE WHEN r < 100 THEN r ELSE r - 7 END)::INT AS row, c AS "column", CASE c WHEN 1 THEN r::VARCHAR WHEN 2 THEN p_name END AS value, CASE c WHEN 4 THEN {_FORMULA(_CUT("A", "r"), _CUT("$B$", "(r + 5)"), _CUT("AA", "r"))} END AS formula FROM p, {_THREE} WHERE r NOT BETWEEN 100 AND 106""")
