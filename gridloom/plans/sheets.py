@@ -39,7 +39,7 @@ def sheet_delete_rows(s, d):
 
 @_query(f"""WITH p AS (SELECT p_partkey + 1 AS r, p_name FROM part) SELECT r::INT AS row, CASE WHEN c = 1 THEN 1 ELSE c + 25 END AS "column", CASE c WHEN 1 THEN r::VARCHAR WHEN 2 THEN p_name END AS value, CASE c WHEN 4 THEN {_FORMULA("'A' || r", "'$AA$' || (r + 5)", "'AZ' || r")} END AS formula FROM p, {_THREE}""")
 def sheet_insert_columns(s, d):
-    return sheets.insert_columns(_cells(s, d), 2, 25)
+    return sheets.insert_columns(_cells(s, d), 2, 25, last_row=None)
 
 
 @_query("""SELECT (p_partkey + 1)::INT AS row, p_partkey + 1 AS id, coalesce(nullif(p_name, ''), 'none') AS name, 7 AS none FROM part""")

@@ -50,7 +50,7 @@ def test_tables_longer_than_a_sheet(spark):
     assert _got(sheets.insert_columns(df, 2, 25, last_row=None)) == [(99, 1, "a", None), (1048570, 1, "b", None), (12345678, 29, None, "A1048577+$AA$12345678&Other!A1048577&A9")]
 
 
-@pytest.mark.parametrize("name", ["sheet_insert_rows", "sheet_delete_rows"])
+@pytest.mark.parametrize("name", ["sheet_insert_rows", "sheet_delete_rows", "sheet_insert_columns"])
 def test_queries_over_more_parts_than_a_sheet_has_rows(spark, tmp_path, name):
     keys = "(VALUES (0), (98), (99), (105), (106), (1048568), (1048569), (1048575), (9999997)) AS p (p_partkey)"
     spark.sql(f"SELECT CAST(p_partkey AS long) AS p_partkey, concat('n', p_partkey) AS p_name FROM {keys}").write.parquet(f"{tmp_path}/part.parquet")
