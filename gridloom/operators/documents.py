@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +43,41 @@ def plain_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Cntrl}]+", " "))
 
 
+def folded(text: str) -> str:
+    """In upper case, letter by letter: a letter whose upper case is of several letters, such as ß, has its title case or itself."""
+    one = lambda c: "ẞ" if c == "ß" else next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+    return "".join(map(one, text))
+
+
+@cache
+def _spellings() -> dict[str, list[int]]:
+    """By folded letter, the code points of the letters that fold to it. Letters with cases lie in the first two planes."""
+    out: dict[str, list[int]] = {}
+    for code in range(0x20000):
+        if not 0xD800 <= code < 0xE000:
+            out.setdefault(folded(chr(code)), []).append(code)
+    return out
+
+
+def in_any_case(term: str) -> str:
+    """A regular expression for a folded term in any case, which matches as many letters as the term has."""
+    return "".join("[" + "".join(f"\\x{{{code:X}}}" for code in _spellings().get(c, [ord(c)])) + "]" for c in term)
+
+
 def search(df: DataFrame, fields: list[str], terms: list[str], match_all: bool = False, width: int = 60) -> DataFrame:
-    """Rows where any term (or each, in whatever fields) occurs, ignoring case, with a snippet of the first field around the earliest term."""
-    wanted = list(dict.fromkeys(t.strip().upper() for t in terms if t.strip()))
+    """Rows where any term (or each, in whatever fields) occurs, ignoring case, with a snippet of the first field around the earliest term. Case is of single letters, so that places are those of the text itself."""
+    wanted = list(dict.fromkeys(folded(t.strip()) for t in terms if t.strip()))
     if not 1 <= len(wanted) <= 32:
         raise ValueError("1 to 32 terms")
-    has = lambda t: F.greatest(*(F.coalesce(F.upper(f).contains(t), F.lit(False)) for f in fields)) if len(fields) > 1 else F.coalesce(F.upper(fields[0]).contains(t), F.lit(False))
-    hits = [has(t) for t in wanted]
-    keep = hits[0]
-    for h in hits[1:]:
-        keep = (keep & h) if match_all else (keep | h)
-    spots = [F.nullif(F.instr(F.upper(fields[0]), t), F.lit(0)) for t in wanted]
-    first = F.least(*spots) if len(spots) > 1 else spots[0]
+    found = [in_any_case(t) for t in wanted]
+    either = "|".join(found)
+    in_any = lambda pattern: F.greatest(F.lit(False), *(F.coalesce(F.rlike(f, F.lit(pattern)), F.lit(False)) for f in fields))
+    keep = in_any(either)
+    if match_all:
+        keep = in_any(found[0])
+        for pattern in found[1:]:
+            keep = keep & in_any(pattern)
+    first = F.when(F.rlike(fields[0], F.lit(either)), F.length(F.regexp_extract(fields[0], f"(?s)^(.*?)(?:{either})", 1)) + 1)
     start = F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - width // 2)
     body = F.col(fields[0]).substr(start, F.lit(width))
     return df.where(keep).withColumn("snippet", F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(F.length(fields[0]) >= start + width, "…").otherwise("")))

@@ -90,10 +90,10 @@ def attach(df: DataFrame, candidates: DataFrame, on: list[str], order: list[str]
 
 def content_search(df: DataFrame, key: str, fields: list[str], terms: list[str], *, match_all: bool = False, where: Column | None = None, width: int = 60) -> DataFrame:
     """Rows where any term, or each in whatever field, occurs, ignoring case: key, matched (fields with a term), field (the first of them) and snippet (of it, around its earliest term). `where` is judged first. 1 to 32 terms of 1,024 letters at most."""
-    wanted = list(dict.fromkeys(t.strip().upper() for t in terms if t and t.strip()))
+    wanted = list(dict.fromkeys(documents.folded(t.strip()) for t in terms if t and t.strip()))
     if not 1 <= len(wanted) <= 32 or any(len(t) > 1024 for t in wanted):
         raise ValueError("1 to 32 terms, of 1,024 letters at most")
-    has = lambda f, t: F.coalesce(F.contains(F.upper(f), F.lit(t)), F.lit(False))
+    has = lambda f, t: F.coalesce(F.rlike(f, F.lit(documents.in_any_case(t))), F.lit(False))
     either = lambda conditions: reduce(lambda a, b: a | b, conditions)
     each = [either([has(f, t) for f in fields]) for t in wanted]
     found = (df.where(where) if where is not None else df).where(reduce(lambda a, b: a & b, each) if match_all else either(each))

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import shaping
+from gridloom.operators import documents, shaping
 
 
 def test_projections_that_are_refused(spark):
@@ -60,6 +60,15 @@ def test_content_search(spark):
             find(bad)
 
 
+def test_case_of_single_letters(spark):
+    text = "ßﬁŉ" * 30 + "Straße 😀 İ. " + "x" * 60
+    df = spark.createDataFrame([(1, text), (2, "ſtraẞe (i)"), (3, "strasse"), (4, None)], "id int, t string")
+    find = lambda *terms: {r["id"]: r["snippet"] for r in documents.search(df, ["t"], list(terms)).collect()}
+    assert find("STRAẞE") == {1: f"…{text[60:120]}…", 2: "ſtraẞe (i)"} == find("straße", "none")
+    assert find("😀") == {1: f"…{text[67:127]}…"} and find("(I)") == {2: "ſtraẞe (i)"} and find("STRASSE", "x.x") == {3: "strasse"}
+    assert sorted(r["id"] for r in shaping.content_search(df, "id", ["t"], ["Straße"]).collect()) == [1, 2]
+
+
 def test_mail_as_text(spark):
     sent = datetime.datetime(2024, 2, 3, 4, 5, 6)
     df = spark.createDataFrame([("f", "a b", sent, "s\nt", "From x\n>From y\nFromage", 1), ("f", None, None, None, None, 2)], "folder string, sender string, sent timestamp, subject string, body string, id int")
