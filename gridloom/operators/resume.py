@@ -27,7 +27,7 @@ class ResumableSearch:
         self.source = df.select(key, *[f for f in fields if f != key])
         self.find = lambda part: documents.search(part, fields, terms, match_all)
         kind = df.schema[key].dataType.simpleString()
-        query = hashlib.sha256(json.dumps([fields, sorted({t.strip().upper() for t in terms if t.strip()}), match_all, key, kind]).encode()).hexdigest()
+        query = hashlib.sha256(json.dumps([fields, sorted({documents.folded(t.strip()) for t in terms if t.strip()}), match_all, key, kind]).encode()).hexdigest()
         source = self._fingerprint()
         if not self._exists("plan"):
             bounds = self.source.agg(F.percentile_approx(key, F.lit([k / ranges for k in range(1, ranges)]), 10_000).alias("b")).first()["b"] if ranges > 1 else []

@@ -32,6 +32,12 @@ def test_a_stopped_search_is_taken_up(spark, tmp_path):
     assert other.ranges == 1 and other.run()
 
 
+def test_a_search_finds_places_behind_letters_of_a_longer_upper_case(spark, tmp_path):
+    body = "ß" * 50 + "needle" + "y" * 50
+    search = resume.ResumableSearch(_docs(spark, 0, [(1, body)]), "id", ["body"], ["Needle", "nEEDLe "], str(tmp_path / "s"), ranges=2)
+    assert search.run() and [r["snippet"] for r in search.results().where("id = 1").collect()] == [f"…{body[20:80]}…"]
+
+
 def test_an_unended_range_is_done_again(spark, tmp_path):
     search = resume.ResumableSearch(_docs(spark), "id", ["body"], ["needle"], str(tmp_path / "s"), ranges=4)
     search.run(2)
