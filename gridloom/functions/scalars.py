@@ -68,10 +68,13 @@ def url_kind(url: Column) -> Column:
 
 def instruction_signals(text: Column, rules: dict[str, list[str]] = INSTRUCTION_SIGNALS) -> Column:
     """The names of the signals of which the text has a phrase, in any case: hidden characters count as nothing, then punctuation and white space as one space."""
-    seen = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cf}\p{Cc}&&[^\x09-\x0D\x85]]+", "")
-    plain = F.lower(F.regexp_replace(seen, r"[\x09-\x0D\x85\p{Z}\p{P}]+", " "))
-    has = lambda phrases: reduce(lambda a, b: a | b, (plain.contains(p) for p in phrases))
-    return F.array_compact(F.array(*(F.when(has(phrases), F.lit(name)) for name, phrases in rules.items())))
+    # of white space and punctuation a single space, the most of it, is left as it is
+    seen = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\p{Cf}]+", "")
+    plain = F.lower(F.regexp_replace(seen, r"[\x09-\x0D\x85\p{Z}\p{P}]{2,}|[\x09-\x0D\x85\p{Z}\p{P}&&[^ ]]", " "))
+    has = lambda t, phrases: reduce(lambda a, b: a | b, (t.contains(p) for p in phrases))
+    named = lambda t: F.array_compact(F.array(*(F.when(has(t, phrases), F.lit(name)) for name, phrases in rules.items())))
+    # the text is prepared once, not for each phrase
+    return F.get(F.transform(F.array(plain), named), F.lit(0))
 
 
 def iso_duration(text: Column) -> Column:

@@ -15,6 +15,13 @@ def test_instruction_signals(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(scalars.instruction_signals(F.col("t"))).first()[0] == want
 
 
+def test_a_text_is_prepared_once_for_all_phrases(spark):
+    texts = ["ig\u00adnore \t\u00a0 pre\x00vious", "SYSTEM.Prompt and l\u200blm", "you  must", "you must", "you\x85must", "youmust", " ", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", scalars.instruction_signals(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.orderBy("k").collect()] == [["instruction-override"], ["prompt-reference", "model-addressing"], *[["instruction-directive"]] * 3, [], [], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
 @pytest.mark.parametrize(("criterion", "want"), [
     ("<>", ["a*b", "axb", "NaN", "5", "inf"]), ("=", [None, ""]), ("a~*b", ["a*b"]), ("a*b", ["a*b", "axb"]), ("=nan", ["NaN"]), ("inf", ["inf"]), ("<>nan", [None, "", "a*b", "axb", "5", "inf"]), (">4", ["5"]), ("=5.0", ["5"]), ("<>5", [None, "", "a*b", "axb", "NaN", "inf"]), (">", []),
 ])
