@@ -1,11 +1,15 @@
-"""XML and HTML texts as rows: tags are tokens, and what is open around them is carried by windows over a document's tokens."""
+"""XML and HTML texts as rows: tags are tokens. What is open around them is carried by a stack in XML, and by windows over a document's tokens in HTML."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from . import graph
+from pyspark.sql import types as T
 
 #: Comments, character data, instructions, declarations, tags (a > within quotes does not end one), and text.
 TOKEN = r"""<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<\?(?s:.*?)\?>|<![A-Za-z][^>\[]*+(?:\[[^\]]*+\])?+[^>]*+>|</[^>]*+>|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
@@ -33,58 +37,104 @@ def characters(text: Column, named: dict[str, str] = NAMED) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
+_TOKEN, _NAME, _ATTRIBUTE = (re.compile(x, re.ASCII) for x in (TOKEN, r"</?([^\s/>]+)", ATTRIBUTE))
+_REFERENCE = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]*+));")
+_SPACE = " \t\n\v\f\r"
+#: Letters of values and paths, about, that are handed over at once.
+_BATCH = 16_000_000
+
+
+def _decoded(text: str) -> str:
+    """As `characters`, of one text."""
+
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return NAMED.get(m[3], m[0])
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
+
+    return _REFERENCE.sub(one, text) if "&" in text else text
+
+
+@lru_cache(4096)
+def _tag(token: str) -> tuple[str, str, list[tuple[str, str]]]:
+    """Kind (close, lone, open or bad), name and attributes of a tag."""
+    m = _NAME.match(token)
+    if not m:
+        return "bad", "", []
+    kind = "close" if token.startswith("</") else "lone" if token.endswith("/>") else "open"
+    return kind, m[1], [(f"/@{name}", _decoded(quoted[1:-1])) for name, quoted in _ATTRIBUTE.findall(token)] if "=" in token else []
+
+
+def _elements(xml: str, depth: int) -> list[tuple[str, list[tuple[str, str]], list[str]]]:
+    """(path, attributes, pieces of its own text) of the elements of a text; none if its tags do not close in order."""
+    out, deepest = [], 0
+    open_ = [("", "", {}, None)]  # of what is open: name, path, numbers given to its children by name, and pieces of text
+    for token in _TOKEN.findall(xml):
+        if token[0] != "<" or token.startswith("<![CDATA["):
+            pieces = open_[-1][3]
+            if pieces is not None:
+                pieces.append(_decoded(token) if token[0] != "<" else token[9:-3])
+            elif token.strip(_SPACE):
+                return []
+        elif not token.startswith(("<!", "<?")):
+            # long tags are read, but not kept in memory
+            kind, name, attributes = _tag(token) if len(token) < 256 else _tag.__wrapped__(token)
+            if kind == "bad":
+                return []
+            if kind == "close":
+                if len(open_) == 1 or open_.pop()[0] != name:
+                    return []
+                continue
+            _, path, numbers, _ = open_[-1]
+            number = numbers[name] = numbers.get(name, 0) + 1
+            path, pieces = f"{path}/{name}[{number}]" if path else f"{name}[{number}]", []
+            out.append((path, attributes, pieces))
+            if len(open_) > deepest:
+                deepest = len(open_)
+            if kind == "open":
+                open_.append((name, path, {}, pieces))
+    if len(open_) > 1:
+        return []
+    if deepest > depth:
+        raise ValueError(f"more than {depth} elements within each other: {deepest}")
+    return out
+
+
 def xml_rows(df: DataFrame, key: str, xml: str, depth: int = 32) -> DataFrame:
     """Elements and attributes of XML texts as rows: key, path (catalog[1]/book[2]/@id, numbered among siblings of a name), type (element or attribute) and value (an element's own text, trimmed; null for none).
 
     A text whose tags do not close in order has no rows. More than `depth`
-    elements within each other are an error, not a loss. Keys are unique.
+    elements within each other are an error, not a loss. Each text is read where it
+    stands, token by token, so that nothing is shuffled.
     """
-    each = df.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    c = F.col("token")
-    data = F.startswith(c, F.lit("<![CDATA["))
-    kind = (
-        F.when(data | ~F.startswith(c, F.lit("<")), "text").when(c.rlike(r"^<[!?]"), "other").when(F.startswith(c, F.lit("</")), "close")
-        .when(c == "<", "bad").when(F.endswith(c, F.lit("/>")), "lone").otherwise("open")
-    )
-    named = each.withColumns({"kind": kind, "name": F.regexp_extract(c, r"^</?([^\s/>]+)", 1)}).where("kind <> 'other'")
-    w = Window.partitionBy("key").orderBy("pos")
-    behind = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(w)
-    levelled = named.withColumn("level", behind + F.when(F.col("kind").isin("lone", "close"), 1).otherwise(0))
-
-    # an element is a child at its level, and a mark for its children one level below
-    own = F.struct("level", F.lit(False).alias("mark"))
-    mark = F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("mark"))
-    dealt = levelled.select("*", F.explode(F.when(F.col("kind") == "open", F.array(own, mark)).otherwise(F.array(own))).alias("at"))
-    at_level = Window.partitionBy("key", "at.level").orderBy("pos")
-    parent = F.coalesce(F.last(F.when(F.col("at.mark"), F.col("pos")), ignorenulls=True).over(at_level), F.lit(-1))
-    tags = F.col("kind").isin("open", "close") & ~F.col("at.mark")
-    before = F.last(F.when(tags, F.struct("kind", "name")), ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1))
-    wrong = F.col("kind").isin("bad") | (F.col("kind") == "close") & ((F.coalesce(before["kind"], F.lit("")) != "open") | (before["name"] != F.col("name"))) | (F.col("kind") == "text") & (F.col("level") < 1) & c.rlike(r"\S") | (F.col("kind").isin("open", "lone") & (F.col("name") == ""))
-    placed = dealt.withColumns({"parent": parent, "wrong": wrong & ~F.col("at.mark")}).where("not at.mark").drop("at")
-
-    element = F.col("kind").isin("open", "lone")
-    number = F.sum(element.cast("int")).over(Window.partitionBy("key", "parent", "name").orderBy("pos"))
-    all_ = Window.partitionBy("key")
-    counted = placed.withColumn("segment", F.when(element, F.concat("name", F.lit("["), number.cast("string"), F.lit("]"))))
-    # written, so that only as many levels as there are have a window
-    table = graph._written(counted)[0]
-    levels = range(1, max(1, min(depth, table.agg(F.max("level")).first()[0] or 1)) + 1)
-    judged = table.withColumns({"wrong": F.max("wrong").over(all_), "open": F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(all_), "deepest": F.max("level").over(all_)}).where("not wrong and open = 0")
-    fits = F.when(F.col("deepest") > depth, F.raise_error(F.concat(F.lit(f"more than {depth} elements within each other: "), F.col("deepest").cast("string"))).cast("boolean")).otherwise(True)
-    checked = judged.where(fits)
-    last = {f"_{k}": F.last(F.when(element & (F.col("level") == k), F.struct("pos", "segment")), ignorenulls=True).over(w) for k in levels}
-    around = checked.where("kind <> 'close'").withColumns(last)
-    held = around.withColumn("above", F.slice(F.array(*(F.col(c) for c in last)), F.lit(1), F.greatest(F.col("level"), F.lit(1)).cast("int"))).drop(*last)
-    text = F.when(F.startswith(c, F.lit("<![CDATA[")), F.substr(c, F.lit(10), F.length(c) - 12)).otherwise(characters(c))
-    pieces = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", text.alias("text")))))
-    tag = F.max(F.when(element, c))
-    found = held.where("level >= 1").groupBy("key", F.element_at("above", -1)["pos"].alias("pos")).agg(
-        F.max(F.when(element, F.array_join(F.transform("above", lambda x: x["segment"]), "/"))).alias("path"), tag.alias("tag"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
-    value = F.regexp_replace("text", r"^\s+|\s+$", "")
-    attributes = F.transform(F.regexp_extract_all("tag", F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.struct(
-        F.concat("path", F.lit("/@"), F.regexp_extract(a, ATTRIBUTE, 1)).alias("path"), F.lit("attribute").alias("type"), characters(F.regexp_replace(F.regexp_extract(a, ATTRIBUTE, 2), "^.|.$", "")).alias("value")))
-    itself = F.array(F.struct("path", F.lit("element").alias("type"), F.nullif(value, F.lit("")).alias("value")))
-    return found.select(F.col("key").alias(key), F.explode(F.concat(itself, attributes)).alias("x")).select(key, "x.path", "x.type", "x.value")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.array(["element", "attribute"], pa.string())
+        for batch in batches:
+            at, paths, kind, values, size = [], [], [], [], 0
+            made = lambda: pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), kinds.take(pa.array(kind, pa.int8())), pa.array(values, pa.string())], names=[key, "path", "type", "value"])  # noqa: B023, E731
+            for k, text in enumerate(batch.column(1)):
+                for path, attributes, pieces in _elements(text.as_py() or "", depth):
+                    value = "".join(pieces).strip(_SPACE) or None
+                    at.append(k)
+                    paths.append(path)
+                    kind.append(0)
+                    values.append(value)
+                    size += len(path) + len(value or "")
+                    for name, held in attributes:
+                        at.append(k)
+                        paths.append(path + name)
+                        kind.append(1)
+                        values.append(held)
+                        size += len(path) + len(name) + len(held)
+                    if size > _BATCH:
+                        yield made()
+                        at, paths, kind, values, size = [], [], [], [], 0
+            yield made()
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.StringType()) for c in ("path", "type", "value"))])
+    return df.select(key, F.col(xml).cast("string").alias("_xml")).mapInArrow(rows, schema)
 
 
 def html_sections(df: DataFrame, key: str, html: str) -> DataFrame:

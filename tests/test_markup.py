@@ -4,6 +4,7 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import markup
 
@@ -71,3 +72,15 @@ def test_html_nodes(spark):
     assert [(r["kind"], r["depth"], r["ordinal"], r["target"]) for r in got] == [
         ("list", 1, None, None), ("item", 1, 1, None), ("list", 2, None, None), ("item", 2, 1, None), ("item", 2, 2, None), ("item", 1, 2, None), ("link", 1, None, "x?a=1&b=2"), ("list", 1, None, None), ("item", 1, 1, None),
         ("image", 0, None, "i.png"), ("form", 0, None, "go"), ("field", 0, None, "n"), ("paragraph", 0, None, None)]
+
+
+def test_xml_rows_are_read_where_the_text_stands(spark):
+    rows = markup.xml_rows(spark.createDataFrame([(1, "<a x='1'>b<c/></a>"), (1, "<a>d</a>"), (None, "<a>e"), (2, None)], "id int, body string"), "id", "body")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a[1]", "element", "b"), (1, "a[1]", "element", "d"), (1, "a[1]/@x", "attribute", "1"), (1, "a[1]/c[1]", "element", None)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    # more letters than are handed over at once
+    piece = "<b k='2'>" + "x" * 1000 + "</b>"
+    long = spark.range(2).select("id", F.concat(F.lit("<a>"), F.repeat(F.lit(piece), 20_000), F.lit("</a>")).alias("body"))
+    got = markup.xml_rows(long, "id", "body").groupBy("type").agg(F.count("*"), F.countDistinct("id", "path"), F.sum(F.length("value"))).collect()
+    assert sorted(tuple(r) for r in got) == [("attribute", 40_000, 40_000, 40_000), ("element", 40_002, 40_002, 40_000_000)]
